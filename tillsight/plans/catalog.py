@@ -1,0 +1,91 @@
+"""Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
+
+The callables only wire library operators to the benchmark tables; every one
+reads whole tables.  Double columns are rounded on output (``_out``) because
+sums of doubles depend on evaluation order, and the results are compared with
+an independent SQL engine.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tillsight.functions.exprs import round_half_up
+from tillsight.operators import cleaning, features, scores
+from tillsight.sources import tables
+
+ROUND_DIGITS = 6
+
+
+def _out(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cols.append(round_half_up(F.col(f.name), digits).alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_transactions(tables.raw_transactions(spark, sf_dir))
+
+
+def customer_features(spark, sf_dir):
+    return features.build_customer_features(transactions(spark, sf_dir))
+
+
+def customers(spark, sf_dir):
+    return scores.customer_table(customer_features(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- queries
+def q_transactions_clean(spark, sf_dir):
+    return _out(transactions(spark, sf_dir))
+
+
+def q_customer_features(spark, sf_dir):
+    return _out(customer_features(spark, sf_dir))
+
+
+def q_rfm_scores(spark, sf_dir):
+    return scores.rfm_analysis(customer_features(spark, sf_dir))
+
+
+def q_customer_scores(spark, sf_dir):
+    c = scores.add_customer_scores(customer_features(spark, sf_dir))
+    return _out(c.select("customer_id", "r_score", "f_score", "m_score", "rfm_score",
+                         "clv_estimate", "churn_risk", "health_score"))
+
+
+def q_personas(spark, sf_dir):
+    c = scores.assign_personas(scores.add_customer_scores(customer_features(spark, sf_dir)))
+    return c.select("customer_id", "persona")
+
+
+def q_customer_tiers(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    return _out(c.select("customer_id", "customer_intelligence_score", "customer_tier"))
+
+
+def q_tier_counts(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    return c.groupBy("customer_tier").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def q_rfm_segments(spark, sf_dir):
+    return scores.rfm_segments(customer_features(spark, sf_dir))
+
+
+QUERIES = {
+    "transactions_clean": q_transactions_clean,
+    "customer_features": q_customer_features,
+    "rfm_scores": q_rfm_scores,
+    "customer_scores": q_customer_scores,
+    "personas": q_personas,
+    "customer_tiers": q_customer_tiers,
+    "tier_counts": q_tier_counts,
+    "rfm_segments": q_rfm_segments,
+}
