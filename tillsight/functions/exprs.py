@@ -25,10 +25,19 @@ def clip(c: Column, lo=None, hi=None) -> Column:
     return F.when(c.isNotNull(), out)
 
 
-def round_half_up(c: Column, digits: int = 6) -> Column:
-    """Round on the binary value: floor(x * 10^d + 0.5) / 10^d (same formula in the SQL oracle)."""
-    scale = float(10 ** digits)
-    return F.when(F.abs(c) < F.lit(1e12), F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(c)
+def round_half_up(c: Column, digits: int = 6, significant: int = 12) -> Column:
+    """Round on the binary value, floor(x * 10^d + 0.5) / 10^d, with d = ``digits``
+    but at most ``significant`` digits overall (decided by exact comparisons).
+    The SQL oracle applies the same formula, so equal inputs give equal outputs."""
+    a = F.abs(c)
+    out = c
+    expr = None
+    for d in range(digits, -1, -1):
+        bound = float(10 ** (significant - d))
+        scale = float(10 ** d)
+        r = F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+        expr = F.when(a < F.lit(bound), r) if expr is None else expr.when(a < F.lit(bound), r)
+    return expr.otherwise(out)
 
 
 def nan_to_null(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tillsight.functions.exprs import round_half_up
 from tillsight.operators import cleaning, features, scores
+from tillsight.session import materialize
 from tillsight.sources import tables
 
 ROUND_DIGITS = 6
@@ -29,16 +30,31 @@ def _out(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+_HUBS: dict = {}
+
+
+def _hub(spark: SparkSession, sf_dir: str, name: str, build):
+    """Shared intermediate tables (cleaned lines, customer features, customer
+    table), materialized once per session and table directory."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _HUBS:
+        _HUBS[key] = materialize(build())
+    return _HUBS[key]
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_transactions(tables.raw_transactions(spark, sf_dir))
+    return _hub(spark, sf_dir, "tx",
+                lambda: cleaning.clean_transactions(tables.raw_transactions(spark, sf_dir)))
 
 
 def customer_features(spark, sf_dir):
-    return features.build_customer_features(transactions(spark, sf_dir))
+    return _hub(spark, sf_dir, "features",
+                lambda: features.build_customer_features(transactions(spark, sf_dir)))
 
 
 def customers(spark, sf_dir):
-    return scores.customer_table(customer_features(spark, sf_dir))
+    return _hub(spark, sf_dir, "customers",
+                lambda: scores.customer_table(customer_features(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- queries
@@ -89,3 +105,165 @@ QUERIES = {
     "tier_counts": q_tier_counts,
     "rfm_segments": q_rfm_segments,
 }
+
+
+# ---------------------------------------------------------------- wave 2: SQL-expressible reports
+from tillsight.operators import campaigns as _camp  # noqa: E402
+from tillsight.operators import cohorts as _coh  # noqa: E402
+from tillsight.operators import profiling as _prof  # noqa: E402
+from tillsight.operators import reports as _rep  # noqa: E402
+
+
+def q_campaigns(spark, sf_dir):
+    return _out(_camp.campaign_recommendations(customers(spark, sf_dir)))
+
+
+def q_campaign_allocation(spark, sf_dir):
+    return _out(_rep.campaign_allocation(_camp.campaign_recommendations(customers(spark, sf_dir))))
+
+
+def q_campaigns_critical(spark, sf_dir):
+    c = _camp.campaign_recommendations(customers(spark, sf_dir))
+    return _out(_rep.campaigns_by_priority(c, "critical").select("customer_id", "priority", "campaign_strategy"))
+
+
+def q_cohort_retention(spark, sf_dir):
+    return _coh.cohort_retention(transactions(spark, sf_dir))
+
+
+def q_cohort_summary(spark, sf_dir):
+    return _coh.cohort_summary(_coh.cohort_retention(transactions(spark, sf_dir)))
+
+
+def q_persona_counts(spark, sf_dir):
+    return _rep.value_counts(customers(spark, sf_dir), "persona")
+
+
+def q_run_summary_kpis(spark, sf_dir):
+    return _out(_rep.run_summary_kpis(transactions(spark, sf_dir), customers(spark, sf_dir)))
+
+
+def q_customer_kpis(spark, sf_dir):
+    c = customer_features(spark, sf_dir)
+    return _out(_rep.customer_kpis(c).crossJoin(_rep.median_recency(c)))
+
+
+def q_revenue_by_tier(spark, sf_dir):
+    return _out(_rep.revenue_by_group(customers(spark, sf_dir), "customer_tier"))
+
+
+CORR_COLUMNS = ["recency_days", "frequency", "monetary_value", "avg_order_value", "tenure_days",
+                "purchase_rate", "return_rate", "product_diversity"]
+
+
+def q_feature_correlation(spark, sf_dir):
+    return _out(_rep.correlation_matrix(customer_features(spark, sf_dir), CORR_COLUMNS))
+
+
+def q_monetary_histogram(spark, sf_dir):
+    return _out(_rep.histogram(customer_features(spark, sf_dir), "monetary_value", 20))
+
+
+def q_monetary_box_by_tier(spark, sf_dir):
+    return _out(_rep.box_summary(customers(spark, sf_dir), "monetary_value", "customer_tier"))
+
+
+def q_monthly_revenue(spark, sf_dir):
+    return _out(_rep.monthly_revenue(transactions(spark, sf_dir)))
+
+
+def q_top_products(spark, sf_dir):
+    return _out(_rep.top_products(transactions(spark, sf_dir), 15))
+
+
+def q_country_performance(spark, sf_dir):
+    return _out(_rep.country_performance(transactions(spark, sf_dir), 15))
+
+
+def q_market_report(spark, sf_dir):
+    return _out(_rep.market_report(_rep.country_performance(transactions(spark, sf_dir), 15)))
+
+
+def q_top_countries_by_lines(spark, sf_dir):
+    return _rep.top_countries_by_lines(transactions(spark, sf_dir), 10)
+
+
+def q_popular_products_qty(spark, sf_dir):
+    return _rep.popular_products_by_quantity(transactions(spark, sf_dir))
+
+
+def q_month_of_year(spark, sf_dir):
+    return _out(_rep.month_of_year_totals(transactions(spark, sf_dir)))
+
+
+def q_year_totals(spark, sf_dir):
+    return _out(_rep.year_totals(transactions(spark, sf_dir)))
+
+
+def q_customers_at_risk(spark, sf_dir):
+    c = _rep.customers_filtered(customers(spark, sf_dir), persona="At-risk customers", limit=100)
+    return c.select("customer_id", "persona", "recency_days", "frequency")
+
+
+def q_customer_lookup(spark, sf_dir):
+    c = _rep.customer_by_id(customers(spark, sf_dir), "1234")
+    return _out(c.select("customer_id", "persona", "customer_tier", "health_score", "monetary_value"))
+
+
+def q_top_customers_by_value(spark, sf_dir):
+    return _out(_rep.top_n(customer_features(spark, sf_dir), "monetary_value", 10)
+                .select("customer_id", "monetary_value", "frequency"))
+
+
+def q_validation_report(spark, sf_dir):
+    return cleaning.validation_counts(tables.raw_transactions(spark, sf_dir))
+
+
+def q_raw_profile_overview(spark, sf_dir):
+    return _prof.profile_overview(tables.raw_transactions(spark, sf_dir))
+
+
+def q_clean_column_profile(spark, sf_dir):
+    return _prof.column_profile(transactions(spark, sf_dir))
+
+
+def q_quality_comparison(spark, sf_dir):
+    raw = tables.raw_transactions(spark, sf_dir)
+    return _prof.quality_comparison(raw, cleaning.clean_transactions(raw))
+
+
+def q_cleaning_audit(spark, sf_dir):
+    raw = tables.raw_transactions(spark, sf_dir)
+    return _prof.cleaning_audit(raw, cleaning.clean_transactions(raw))
+
+
+QUERIES.update({
+    "campaigns": q_campaigns,
+    "campaign_allocation": q_campaign_allocation,
+    "campaigns_critical": q_campaigns_critical,
+    "cohort_retention": q_cohort_retention,
+    "cohort_summary": q_cohort_summary,
+    "persona_counts": q_persona_counts,
+    "run_summary_kpis": q_run_summary_kpis,
+    "customer_kpis": q_customer_kpis,
+    "revenue_by_tier": q_revenue_by_tier,
+    "feature_correlation": q_feature_correlation,
+    "monetary_histogram": q_monetary_histogram,
+    "monetary_box_by_tier": q_monetary_box_by_tier,
+    "monthly_revenue": q_monthly_revenue,
+    "top_products": q_top_products,
+    "country_performance": q_country_performance,
+    "market_report": q_market_report,
+    "top_countries_by_lines": q_top_countries_by_lines,
+    "popular_products_qty": q_popular_products_qty,
+    "month_of_year": q_month_of_year,
+    "year_totals": q_year_totals,
+    "customers_at_risk": q_customers_at_risk,
+    "customer_lookup": q_customer_lookup,
+    "top_customers_by_value": q_top_customers_by_value,
+    "validation_report": q_validation_report,
+    "raw_profile_overview": q_raw_profile_overview,
+    "clean_column_profile": q_clean_column_profile,
+    "quality_comparison": q_quality_comparison,
+    "cleaning_audit": q_cleaning_audit,
+})

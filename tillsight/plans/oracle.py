@@ -134,9 +134,11 @@ def _dbl(sql: str) -> str:
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1::DOUBLE", sql)
 
 
-def _rx(expr: str, d: int = 6) -> str:
-    scale = f"{10 ** d}.0"
-    return f"CASE WHEN abs({expr}) < 1e12 THEN floor(({expr}) * {scale} + 0.5) / {scale} ELSE ({expr}) END"
+def _rx(expr: str, d: int = 6, significant: int = 12) -> str:
+    whens = " ".join(
+        f"WHEN abs({expr}) < {10 ** (significant - k)}.0 THEN floor(({expr}) * {10 ** k}.0 + 0.5) / {10 ** k}.0"
+        for k in range(d, -1, -1))
+    return f"CASE {whens} ELSE ({expr}) END"
 
 
 def _r(col: str, d: int = 6) -> str:
@@ -187,3 +189,261 @@ FROM b""",
 }
 
 ORACLE = {k: _dbl(v) for k, v in _RAW.items()}
+
+
+# ---------------------------------------------------------------- wave 2
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _campaign_sql() -> str:
+    from tillsight.operators.campaigns import DEFAULT_RULE, RULES, TEXT_COLUMNS
+    texts = []
+    for j, name in enumerate(TEXT_COLUMNS):
+        arr = "[" + ", ".join(_q(r[j]) for r in RULES + [DEFAULT_RULE]) + "]"
+        texts.append(f"{arr}[rule] AS {name}")
+    return SCORES + """,
+cb AS (
+  SELECT customer_id, persona, customer_tier, churn_risk, health_score, clv_estimate, recency_days, frequency,
+         coalesce(churn_risk, 0) AS _churn, coalesce(health_score, 50) AS _health,
+         coalesce(clv_estimate, 0) AS _clv, 0.0 AS _spend, coalesce(recency_days, 0) AS _rec,
+         coalesce(frequency, 0) AS _freq, coalesce(persona, 'Regular customers') AS _persona,
+         coalesce(customer_tier, 'Standard') AS _tier
+  FROM customers
+),
+cq AS (
+  SELECT quantile_cont(_clv, 0.8) AS clv80, quantile_cont(_spend, 0.8) AS spend80,
+         quantile_cont(_freq, 0.8) AS freq80, quantile_cont(_rec, 0.5) AS rec50,
+         quantile_cont(recency_days, 0.85) AS rec85, quantile_cont(_clv, 0.9) AS clv90 FROM cb
+),
+fl AS (
+  SELECT cb.*, (_clv >= clv80 OR _spend >= spend80) AS hv, _churn >= 80 AS severe, _churn >= 65 AS high,
+         (_churn >= 45 AND _churn <= 64.999) AS moderate, _rec > rec50 AS inactive,
+         recency_days >= rec85 AS very_inactive, clv90
+  FROM cb, cq
+),
+ruled AS (
+  SELECT fl.*,
+    CASE WHEN hv AND severe THEN 1
+         WHEN hv AND high AND _health < 50 THEN 2
+         WHEN _tier = 'Platinum' AND high THEN 3
+         WHEN _persona = 'Premium customers' AND high THEN 4
+         WHEN _persona = 'Big spenders' AND high THEN 5
+         WHEN _persona = 'Loyal customers' AND moderate THEN 6
+         WHEN _persona = 'New customers' AND high THEN 7
+         WHEN _persona = 'Bargain shoppers' AND high THEN 8
+         WHEN severe AND very_inactive THEN 9
+         WHEN high AND inactive THEN 10
+         WHEN high THEN 11
+         WHEN hv AND NOT high THEN 12
+         WHEN _persona = 'Regular customers' AND _health >= 65 THEN 13
+         ELSE 14 END AS rule,
+    CASE WHEN hv AND severe THEN 'Critical' WHEN severe THEN 'Critical' WHEN high THEN 'High'
+         WHEN hv THEN 'High' WHEN _health < 45 THEN 'High' ELSE 'Normal' END AS priority,
+    round(100 * (0.45 * least(greatest(_clv / greatest(clv90, 1.0), 0), 1)
+               + 0.40 * least(greatest(_churn / 100, 0), 1)
+               + 0.15 * least(greatest(1 - _health / 100, 0), 1)), 1) AS campaign_opportunity_score
+  FROM fl
+),
+campaigns AS (
+  SELECT customer_id, persona, customer_tier, priority, """ + ", ".join(texts) + """,
+         campaign_opportunity_score, churn_risk, health_score, clv_estimate, recency_days, frequency
+  FROM ruled
+)"""
+
+
+_COHORT = TX + """,
+pm AS (SELECT DISTINCT customer_id, CAST(date_trunc('month', invoice_date) AS DATE) AS m FROM tx WHERE revenue > 0),
+pc AS (SELECT customer_id, m, min(m) OVER (PARTITION BY customer_id) AS cohort FROM pm),
+cr AS (
+  SELECT cohort, CAST((year(m) - year(cohort)) * 12 + month(m) - month(cohort) AS INTEGER) AS period,
+         count(DISTINCT customer_id) AS active_customers
+  FROM pc GROUP BY 1, 2
+),
+retention AS (
+  SELECT strftime(cohort, '%Y-%m') AS cohort_month, period, active_customers,
+         round(active_customers / max(CASE WHEN period = 0 THEN active_customers END)
+               OVER (PARTITION BY cohort) * 100, 1) AS retention_rate
+  FROM cr
+)"""
+
+_MONTHLY = TX + """,
+mrev AS (SELECT CAST(date_trunc('month', invoice_date) AS DATE) AS month, sum(revenue) AS revenue
+         FROM tx WHERE revenue > 0 GROUP BY 1),
+spine AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM mrev),
+monthly AS (SELECT s.month, coalesce(m.revenue, 0.0) AS revenue FROM spine s LEFT JOIN mrev m USING (month))"""
+
+_COUNTRY = TX + """,
+cp AS (SELECT country, sum(revenue) AS revenue, count(DISTINCT invoice_id) AS orders
+       FROM tx WHERE revenue > 0 GROUP BY country ORDER BY revenue DESC, country LIMIT 15)"""
+
+_CORR_COLS = ["recency_days", "frequency", "monetary_value", "avg_order_value", "tenure_days",
+              "purchase_rate", "return_rate", "product_diversity"]
+_TXCOLS = [("invoice_id", "string"), ("customer_id", "string"), ("invoice_date", "timestamp_ntz"),
+           ("stock_code", "string"), ("product_name", "string"), ("quantity", "bigint"),
+           ("unit_price", "double"), ("country", "string"), ("revenue", "double"), ("is_return", "int")]
+
+
+def _column_profile_sql() -> str:
+    parts = []
+    for c, t in _TXCOLS:
+        num = t in ("bigint", "double", "int")
+        mn = f"round(min({c})::DOUBLE, 2)" if num else "NULL::DOUBLE"
+        mx = f"round(max({c})::DOUBLE, 2)" if num else "NULL::DOUBLE"
+        if num:
+            out = (f"(SELECT count(*) FROM tx, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 "
+                   f"FROM tx) q WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))")
+        else:
+            out = "NULL::BIGINT"
+        parts.append(f"""SELECT '{c}' AS "column", '{t}' AS data_type, count(*) FILTER (WHERE {c} IS NULL) AS missing_values,
+  round(count(*) FILTER (WHERE {c} IS NULL) / greatest(count(*), 1) * 100, 2) AS missing_pct,
+  count(DISTINCT {c}) AS unique_values, coalesce(substring(min(CAST({c} AS VARCHAR)), 1, 80), '—') AS example,
+  {mn} AS min, {mx} AS max, {out} AS outliers_iqr FROM tx""")
+    return "WITH " + TX + "\n" + "\nUNION ALL\n".join(parts)
+
+
+def _audit_sql() -> str:
+    return "WITH " + TX + """,
+f AS (
+  SELECT (SELECT count(*) FROM raw) AS raw_rows,
+         (SELECT count(*) FROM raw) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS duplicates,
+         (SELECT count(*) FROM raw WHERE invoice_id IS NULL OR customer_id IS NULL OR invoice_date IS NULL
+             OR quantity IS NULL OR unit_price IS NULL) AS missing_required,
+         (SELECT count(*) FROM raw WHERE invoice_date IS NULL) AS invalid_dates,
+         (SELECT count(*) FROM raw WHERE quantity IS NULL) AS invalid_quantity,
+         (SELECT count(*) FROM raw WHERE unit_price IS NULL) AS invalid_price,
+         (SELECT count(*) FROM raw WHERE quantity = 0) AS zero_quantity,
+         (SELECT count(*) FROM raw WHERE unit_price < 0) AS negative_price,
+         (SELECT count(*) FROM tx) AS clean_rows
+)
+SELECT 'Duplicate rows' AS "check", duplicates AS records_affected, CASE WHEN duplicates > 0 THEN 'Removed' ELSE 'None' END AS action FROM f
+UNION ALL SELECT 'Rows with missing required fields', missing_required, CASE WHEN missing_required > 0 THEN 'Removed' ELSE 'None' END FROM f
+UNION ALL SELECT 'Invalid transaction dates', invalid_dates, CASE WHEN invalid_dates > 0 THEN 'Removed' ELSE 'None' END FROM f
+UNION ALL SELECT 'Non-numeric quantities', invalid_quantity, CASE WHEN invalid_quantity > 0 THEN 'Removed' ELSE 'None' END FROM f
+UNION ALL SELECT 'Non-numeric prices', invalid_price, CASE WHEN invalid_price > 0 THEN 'Removed' ELSE 'None' END FROM f
+UNION ALL SELECT 'Zero-quantity rows', zero_quantity, CASE WHEN zero_quantity > 0 THEN 'Removed' ELSE 'None' END FROM f
+UNION ALL SELECT 'Negative-price rows', negative_price, CASE WHEN negative_price > 0 THEN 'Removed' ELSE 'None' END FROM f
+UNION ALL SELECT 'Total rows removed', greatest(raw_rows - clean_rows, 0), 'Cleaning complete' FROM f"""
+
+
+_RAW.update({
+    "campaigns": "WITH " + _campaign_sql() + f"""
+SELECT customer_id, persona, customer_tier, priority, campaign_strategy, recommended_action, suggested_offer,
+       recommended_channel, incentive_level, campaign_reason, {_r('campaign_opportunity_score')},
+       {_r('churn_risk')}, {_r('health_score')}, {_r('clv_estimate')}, recency_days, frequency FROM campaigns""",
+    "campaign_allocation": "WITH " + _campaign_sql() + """,
+al AS (SELECT campaign_strategy, count(*) AS customers, count(*) FILTER (WHERE incentive_level <> 'None') AS with_incentive
+       FROM campaigns GROUP BY 1)
+SELECT campaign_strategy, customers, with_incentive,
+       round(customers / greatest(sum(customers) OVER (), 1) * 100, 1) AS share FROM al""",
+    "campaigns_critical": "WITH " + _campaign_sql() + """
+SELECT customer_id, priority, campaign_strategy FROM campaigns WHERE lower(priority) = 'critical'""",
+    "cohort_retention": "WITH " + _COHORT + " SELECT * FROM retention",
+    "cohort_summary": "WITH " + _COHORT + """
+SELECT cohort_month, arg_min(active_customers, period) AS starting_customers,
+       arg_max(active_customers, period) AS latest_customers,
+       arg_max(retention_rate, period) AS latest_retention, max(period) AS observed_periods
+FROM retention GROUP BY cohort_month""",
+    "persona_counts": "WITH " + SCORES + " SELECT persona, count(*) AS customers FROM customers GROUP BY persona",
+    "run_summary_kpis": "WITH " + SCORES + """
+SELECT round((SELECT sum(revenue) FROM tx), 2) AS revenue, (SELECT count(*) FROM customers) AS customers,
+       (SELECT count(DISTINCT invoice_id) FROM tx) AS orders,
+       round((SELECT avg(health_score) FROM customers), 1) AS average_health,
+       (SELECT count(*) FROM customers WHERE persona = 'At-risk customers') AS at_risk_customers""",
+    "customer_kpis": "WITH " + FEATURES + f"""
+, k AS (SELECT count(*) AS customer_count, sum(monetary_value) AS total_revenue, avg(monetary_value) AS average_spent,
+       avg(frequency) AS average_frequency, avg(recency_days) AS average_recency,
+       CAST(min(recency_days) AS DOUBLE) AS minimum_recency, CAST(max(recency_days) AS DOUBLE) AS maximum_recency,
+       quantile_cont(recency_days, 0.5) AS median_recency FROM features)
+SELECT customer_count, {_r('total_revenue')}, {_r('average_spent')}, {_r('average_frequency')},
+       {_r('average_recency')}, {_r('minimum_recency')}, {_r('maximum_recency')}, {_r('median_recency')} FROM k""",
+    "revenue_by_tier": "WITH " + SCORES + f"""
+, g AS (SELECT customer_tier, count(*) AS customers, sum(monetary_value) AS revenue, avg(monetary_value) AS average_revenue,
+       avg(health_score) AS average_health, avg(clv_estimate) AS average_clv FROM customers GROUP BY 1)
+SELECT customer_tier, customers, {_r('revenue')}, {_r('average_revenue')}, {_r('average_health')}, {_r('average_clv')} FROM g""",
+    "feature_correlation": "WITH " + FEATURES + "\n" + "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {_rx(f'corr({a}, {b})')} AS correlation FROM features"
+        for a in _CORR_COLS for b in _CORR_COLS),
+    "monetary_histogram": "WITH " + FEATURES + f"""
+, st AS (SELECT min(monetary_value) AS lo, max(monetary_value) AS hi FROM features),
+  st2 AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM st),
+  w AS (SELECT lo, (hi - lo) / 20 AS width FROM st2),
+  b AS (SELECT CAST(least(floor((monetary_value - lo) / width), 19) AS INTEGER) AS bin, count(*) AS n
+        FROM features, w GROUP BY 1),
+  sp AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20))
+SELECT sp.bin, {_rx('lo + sp.bin * width')} AS lower, {_rx('lo + (sp.bin + 1) * width')} AS upper,
+       coalesce(b.n, 0) AS count
+FROM sp LEFT JOIN b USING (bin), w""",
+    "monetary_box_by_tier": "WITH " + SCORES + f"""
+, q AS (SELECT customer_tier, quantile_cont(monetary_value, 0.25) AS q1, quantile_cont(monetary_value, 0.5) AS median,
+        quantile_cont(monetary_value, 0.75) AS q3 FROM customers GROUP BY 1),
+  j AS (SELECT c.customer_tier, c.monetary_value AS v, q1, median, q3,
+        (monetary_value >= q1 - 1.5 * (q3 - q1) AND monetary_value <= q3 + 1.5 * (q3 - q1)) AS inside
+        FROM customers c JOIN q USING (customer_tier)),
+  g AS (SELECT customer_tier, q1, median, q3, min(v) FILTER (WHERE inside) AS lower_whisker,
+        max(v) FILTER (WHERE inside) AS upper_whisker, count(*) FILTER (WHERE NOT inside) AS outliers,
+        count(*) AS n FROM j GROUP BY 1, 2, 3, 4)
+SELECT customer_tier, {_r('q1')}, {_r('median')}, {_r('q3')}, {_r('lower_whisker')}, {_r('upper_whisker')}, outliers, n FROM g""",
+    "monthly_revenue": "WITH " + _MONTHLY + f" SELECT month, {_r('revenue')} FROM monthly",
+    "top_products": "WITH " + TX + f"""
+, tp AS (SELECT product_name AS product, sum(revenue) AS revenue, CAST(sum(quantity) AS BIGINT) AS units
+         FROM tx WHERE revenue > 0 GROUP BY 1 ORDER BY revenue DESC, product LIMIT 15)
+SELECT product, {_r('revenue')}, units FROM tp""",
+    "country_performance": "WITH " + _COUNTRY + f" SELECT country, {_r('revenue')}, orders FROM cp",
+    "market_report": "WITH " + _COUNTRY + f"""
+SELECT country, {_rx('round(revenue, 2)')} AS revenue, orders,
+       {_rx('round(revenue / sum(revenue) OVER () * 100, 1)')} AS revenue_share FROM cp""",
+    "top_countries_by_lines": "WITH " + TX + """
+SELECT country, count(*) AS lines FROM tx GROUP BY country ORDER BY lines DESC, country LIMIT 10""",
+    "popular_products_qty": "WITH " + TX + """
+SELECT stock_code, product_name, CAST(sum(quantity) AS BIGINT) AS total_quantity FROM tx WHERE quantity > 0 GROUP BY 1, 2""",
+    "month_of_year": "WITH " + _MONTHLY + f"""
+, g AS (SELECT CAST(month(month) AS INTEGER) AS month_number, monthname(month) AS month_name,
+        avg(revenue) AS average_revenue, count(*) AS months FROM monthly GROUP BY 1, 2)
+SELECT month_number, month_name, {_r('average_revenue')}, months FROM g""",
+    "year_totals": "WITH " + TX + f"""
+, y AS (SELECT CAST(year(invoice_date) AS INTEGER) AS year, sum(revenue) AS revenue, count(DISTINCT invoice_id) AS orders
+        FROM tx WHERE revenue > 0 GROUP BY 1)
+SELECT year, {_r('revenue')}, orders FROM y""",
+    "customers_at_risk": "WITH " + SCORES + """
+SELECT customer_id, persona, recency_days, frequency FROM customers WHERE persona = 'At-risk customers'
+ORDER BY customer_id LIMIT 100""",
+    "customer_lookup": "WITH " + SCORES + f"""
+SELECT customer_id, persona, customer_tier, {_r('health_score')}, {_r('monetary_value')} FROM customers
+WHERE customer_id = '1234'""",
+    "top_customers_by_value": "WITH " + FEATURES + f"""
+, t AS (SELECT customer_id, monetary_value, frequency FROM features ORDER BY monetary_value DESC, customer_id LIMIT 10)
+SELECT customer_id, {_r('monetary_value')}, frequency FROM t""",
+    "validation_report": "WITH " + TX + """
+SELECT count(*) AS rows, count(*) FILTER (WHERE customer_id IS NULL) AS null_customers,
+       count(*) FILTER (WHERE quantity = 0) AS zero_quantity, count(*) FILTER (WHERE invoice_date IS NULL) AS bad_dates
+FROM raw""",
+    "raw_profile_overview": "WITH " + TX + """,
+o AS (SELECT (SELECT count(*) FROM raw) AS rows,
+             (SELECT count(*) FROM raw) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS dups,
+             (SELECT sum((invoice_id IS NULL)::INT + (customer_id IS NULL)::INT + (invoice_date IS NULL)::INT
+                  + (stock_code IS NULL)::INT + (product_name IS NULL)::INT + (quantity IS NULL)::INT
+                  + (unit_price IS NULL)::INT + (country IS NULL)::INT) FROM raw) AS missing)
+SELECT 'Rows' AS metric, CAST(rows AS DOUBLE) AS value FROM o
+UNION ALL SELECT 'Columns', 8.0 FROM o
+UNION ALL SELECT 'Duplicate rows', CAST(dups AS DOUBLE) FROM o
+UNION ALL SELECT 'Missing cells', CAST(coalesce(missing, 0) AS DOUBLE) FROM o""",
+    "clean_column_profile": _column_profile_sql(),
+    "quality_comparison": "WITH " + TX + """,
+b AS (SELECT (SELECT count(*) FROM raw) AS rows_b,
+             (SELECT count(*) FROM raw) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS dup_b,
+             (SELECT coalesce(sum((invoice_id IS NULL)::INT + (customer_id IS NULL)::INT + (invoice_date IS NULL)::INT
+                  + (stock_code IS NULL)::INT + (product_name IS NULL)::INT + (quantity IS NULL)::INT
+                  + (unit_price IS NULL)::INT + (country IS NULL)::INT), 0) FROM raw) AS miss_b,
+             (SELECT count(*) FROM tx) AS rows_a,
+             (SELECT count(*) FROM tx) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tx)) AS dup_a,
+             (SELECT coalesce(sum((invoice_id IS NULL)::INT + (customer_id IS NULL)::INT + (invoice_date IS NULL)::INT
+                  + (stock_code IS NULL)::INT + (product_name IS NULL)::INT + (quantity IS NULL)::INT
+                  + (unit_price IS NULL)::INT + (country IS NULL)::INT + (revenue IS NULL)::INT
+                  + (is_return IS NULL)::INT), 0) FROM tx) AS miss_a)
+SELECT 'Rows' AS metric, rows_b AS before_cleaning, rows_a AS after_cleaning, rows_a - rows_b AS change FROM b
+UNION ALL SELECT 'Duplicate rows', dup_b, dup_a, dup_a - dup_b FROM b
+UNION ALL SELECT 'Missing cells', CAST(miss_b AS BIGINT), CAST(miss_a AS BIGINT), CAST(miss_a - miss_b AS BIGINT) FROM b""",
+    "cleaning_audit": _audit_sql(),
+})
+ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})

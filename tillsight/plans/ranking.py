@@ -63,6 +63,15 @@ def _running_sum_fn(group_cols: Sequence[str], weight_col: str | None, weight_ty
     return run
 
 
+def _stack_long(df: DataFrame, columns: dict, keep: Sequence[str] = ()) -> DataFrame:
+    """One scan of ``df`` into long form ``(keep..., __g, __v)``: one row per input
+    row and named column (``__g`` = name, ``__v`` = value as double)."""
+    items = [F.struct(F.lit(name).alias("__g"), F.col(col).cast("double").alias("__v"))
+             for name, col in columns.items()]
+    return (df.select(*keep, F.explode(F.array(*items)).alias("__kv"))
+            .select(*keep, F.col("__kv.__g").alias("__g"), F.col("__kv.__v").alias("__v")))
+
+
 def global_cumsum(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                   weight_col: str | None = None, out_col: str = "cum", total_col: str | None = "total",
                   num_partitions: int | None = None) -> DataFrame:
@@ -124,47 +133,43 @@ def global_rank(df: DataFrame, order_cols: Sequence, tie_cols: Sequence[str],
     return ranked.drop(*[c for c in tmp_cols if c.startswith("__neg")])
 
 
-def exact_quantiles(df: DataFrame, specs: dict, num_partitions: int | None = None) -> DataFrame:
-    """One-row frame of linear-interpolated quantiles (pandas / ``quantile_cont``).
+def exact_quantiles(df: DataFrame, specs: dict, by: Sequence[str] = (),
+                    num_partitions: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles (pandas default / ``quantile_cont``), one row
+    per ``by`` group (one row overall without ``by``).
 
     ``specs`` maps an output name to ``(column, q)``.  Nulls and NaN are skipped.
     Values are first counted per distinct value (partial aggregation, so a
     low-cardinality column shrinks to a handful of rows), then cumulated with
-    :func:`global_cumsum`; only the rows holding the two bracketing positions
-    survive into the final one-row aggregate.
+    :func:`global_cumsum` -- range-partitioned, so a hot group is spread over
+    many tasks; only the rows holding the two bracketing positions reach the
+    final aggregate.
     """
+    by = list(by)
     columns = sorted({c for c, _ in specs.values()})
-    parts = [
-        df.select(F.lit(c).alias("g"), F.col(c).cast("double").alias("v"))
-        for c in columns
-    ]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    hist = long.groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
-    cum = global_cumsum(hist, ["v"], group_cols=["g"], weight_col="w", out_col="c", total_col="N",
-                        num_partitions=num_partitions)
-    aggs = []
+    long = _stack_long(df, {c: c for c in columns}, keep=by)
+    long = long.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    hist = long.groupBy(*by, "__g", "__v").agg(F.count(F.lit(1)).alias("__w"))
+    cum = global_cumsum(hist, ["__v"], group_cols=by + ["__g"], weight_col="__w", out_col="__c",
+                        total_col="__N", num_partitions=num_partitions)
+    start = F.col("__c") - F.col("__w")
+
+    def at(pos):
+        return (start <= pos) & (pos < F.col("__c"))
+
+    aggs, keep = [], None
     for name, (col, q) in specs.items():
-        h = (F.col("N") - 1).cast("double") * F.lit(float(q))
+        h = (F.col("__N") - 1).cast("double") * F.lit(float(q))
         lo, hi = F.floor(h), F.ceil(h)
-        start = F.col("c") - F.col("w")
-        is_g = F.col("g") == F.lit(col)
-        aggs.append(F.max(F.when(is_g & (start <= lo) & (lo < F.col("c")), F.col("v"))).alias(f"{name}__lo"))
-        aggs.append(F.max(F.when(is_g & (start <= hi) & (hi < F.col("c")), F.col("v"))).alias(f"{name}__hi"))
+        is_g = F.col("__g") == F.lit(col)
+        aggs.append(F.max(F.when(is_g & at(lo), F.col("__v"))).alias(f"{name}__lo"))
+        aggs.append(F.max(F.when(is_g & at(hi), F.col("__v"))).alias(f"{name}__hi"))
         aggs.append(F.max(F.when(is_g, h - lo)).alias(f"{name}__f"))
-    relevant = cum  # the filter below keeps only bracketing rows before the global aggregate
-    keep = None
-    for name, (col, q) in specs.items():
-        h = (F.col("N") - 1).cast("double") * F.lit(float(q))
-        start = F.col("c") - F.col("w")
-        cond = (F.col("g") == F.lit(col)) & (
-            ((start <= F.floor(h)) & (F.floor(h) < F.col("c"))) | ((start <= F.ceil(h)) & (F.ceil(h) < F.col("c"))))
+        cond = is_g & (at(lo) | at(hi))
         keep = cond if keep is None else (keep | cond)
     relevant = cum.where(keep)
-    agg = relevant.agg(*aggs)
-    outs = [
+    agg = relevant.groupBy(*by).agg(*aggs) if by else relevant.agg(*aggs)
+    outs = [F.col(b) for b in by] + [
         (F.col(f"{n}__lo") + (F.col(f"{n}__hi") - F.col(f"{n}__lo")) * F.col(f"{n}__f")).alias(n)
         for n in specs
     ]
@@ -180,11 +185,7 @@ def ranks_by(df: DataFrame, key: str, columns: dict) -> DataFrame:
     ``(g, v, key)``, ranked per ``g`` by :func:`global_cumsum`, and pivoted back
     with one aggregation by ``key``.
     """
-    parts = [df.select(F.lit(name).alias("__g"), F.col(col).cast("double").alias("__v"), F.col(key))
-             for name, col in columns.items()]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    long = _stack_long(df, columns, keep=[key])
     ranked = global_cumsum(long, ["__v", key], group_cols=["__g"], out_col="__r", total_col="__n")
     aggs = []
     for name in columns:

@@ -53,3 +53,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint written to
+    the shared checkpoint directory (never a machine-local cache), so a lost
+    executor does not trigger recomputation from the raw tables."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
