@@ -267,3 +267,73 @@ QUERIES.update({
     "quality_comparison": q_quality_comparison,
     "cleaning_audit": q_cleaning_audit,
 })
+
+
+# ---------------------------------------------------------------- wave 3: recommendations
+from tillsight.operators import recommend as _rec  # noqa: E402
+
+
+def q_product_catalog(spark, sf_dir):
+    return _out(_rec.product_catalog(transactions(spark, sf_dir)))
+
+
+def q_co_purchase(spark, sf_dir):
+    return _rec.co_purchase_counts(transactions(spark, sf_dir))
+
+
+def q_recommend_products(spark, sf_dir):
+    return _out(_rec.recommend_products(transactions(spark, sf_dir), 5))
+
+
+def q_cross_sell(spark, sf_dir):
+    return _out(_rec.cross_sell(transactions(spark, sf_dir), 5))
+
+
+def q_upsell(spark, sf_dir):
+    return _out(_rec.upsell(transactions(spark, sf_dir), 3))
+
+
+def q_product_popularity(spark, sf_dir):
+    return _out(_rec.product_popularity(transactions(spark, sf_dir)))
+
+
+def q_similar_products(spark, sf_dir):
+    return _out(_rec.similar_products(transactions(spark, sf_dir), 10))
+
+
+def q_similar_customers(spark, sf_dir):
+    return _out(_rec.similar_customers(transactions(spark, sf_dir), 10))
+
+
+def q_neighbour_recommendations(spark, sf_dir):
+    return _out(_rec.neighbour_recommendations(transactions(spark, sf_dir), 10, 20))
+
+
+def q_hybrid_recommendations(spark, sf_dir):
+    return _out(_rec.neighbour_recommendations(transactions(spark, sf_dir), 10, 10, weighted=False,
+                                               weight="quantity"))
+
+
+def q_recommendation_metrics(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    return _out(_rec.recommendation_metrics(_rec.recommend_products(tx, 5), tx))
+
+
+def q_top_recommended(spark, sf_dir):
+    return _rec.top_recommended(_rec.recommend_products(transactions(spark, sf_dir), 5), 10)
+
+
+QUERIES.update({
+    "product_catalog": q_product_catalog,
+    "co_purchase": q_co_purchase,
+    "recommend_products": q_recommend_products,
+    "cross_sell": q_cross_sell,
+    "upsell": q_upsell,
+    "product_popularity": q_product_popularity,
+    "similar_products": q_similar_products,
+    "similar_customers": q_similar_customers,
+    "neighbour_recommendations": q_neighbour_recommendations,
+    "hybrid_recommendations": q_hybrid_recommendations,
+    "recommendation_metrics": q_recommendation_metrics,
+    "top_recommended": q_top_recommended,
+})

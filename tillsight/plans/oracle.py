@@ -447,3 +447,136 @@ UNION ALL SELECT 'Missing cells', CAST(miss_b AS BIGINT), CAST(miss_a AS BIGINT)
     "cleaning_audit": _audit_sql(),
 })
 ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})
+
+
+# ---------------------------------------------------------------- wave 3: recommendations
+_REC = TX + """,
+pur AS (SELECT *, stock_code AS product_id FROM tx WHERE revenue > 0),
+catalog AS (
+  SELECT product_id, arg_min(product_name, (invoice_date, product_name)) AS product_name,
+         quantile_cont(unit_price, 0.5) AS price, count(DISTINCT invoice_id) AS popularity, sum(revenue) AS revenue
+  FROM pur GROUP BY product_id
+),
+basket AS (SELECT DISTINCT invoice_id, product_id FROM pur),
+co AS (
+  SELECT a.product_id AS product_a, b.product_id AS product_b, count(*) AS n
+  FROM basket a JOIN basket b ON a.invoice_id = b.invoice_id AND a.product_id <> b.product_id
+  GROUP BY 1, 2
+),
+bought AS (SELECT DISTINCT customer_id, product_id FROM pur),
+cp AS (SELECT customer_id, product_id, count(*) AS w FROM pur GROUP BY 1, 2),
+pop AS (SELECT product_id, count(DISTINCT invoice_id) AS purchases, count(DISTINCT customer_id) AS customers,
+               sum(revenue) AS revenue FROM pur GROUP BY 1)"""
+
+_RECPROD = _REC + """,
+cand AS (
+  SELECT bo.customer_id, co.product_b AS product_id, sum(co.n) AS score
+  FROM bought bo JOIN co ON bo.product_id = co.product_a
+  WHERE NOT EXISTS (SELECT 1 FROM bought x WHERE x.customer_id = bo.customer_id AND x.product_id = co.product_b)
+  GROUP BY 1, 2
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, product_id) AS rank FROM cand),
+warm AS (SELECT customer_id, product_id, score, rank FROM ranked WHERE rank <= 5),
+poprank AS (SELECT product_id, row_number() OVER (ORDER BY popularity DESC, product_id) AS pop_rank FROM catalog),
+coldc AS (SELECT DISTINCT customer_id FROM bought WHERE customer_id NOT IN (SELECT customer_id FROM warm)),
+coldfill AS (
+  SELECT c.customer_id, p.product_id, p.pop_rank FROM coldc c, poprank p
+  WHERE NOT EXISTS (SELECT 1 FROM bought x WHERE x.customer_id = c.customer_id AND x.product_id = p.product_id)
+),
+coldtop AS (
+  SELECT customer_id, product_id, CAST(NULL AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY customer_id ORDER BY pop_rank) AS rank FROM coldfill
+),
+recs AS (
+  SELECT r.customer_id, CAST(r.rank AS INTEGER) AS rank, r.product_id, c.product_name, {PRICE2} AS price,
+         CAST(r.score AS BIGINT) AS score, 'Frequently bought with your purchase history' AS reason
+  FROM (SELECT * FROM warm UNION ALL SELECT * FROM coldtop WHERE rank <= 5) r JOIN catalog c USING (product_id)
+)"""
+
+_RECPROD = _RECPROD.replace("{PRICE2}", _rx("c.price", 2))
+
+_COS = """
+norms_{e} AS (SELECT {e} AS id, sqrt(sum(w * w)) AS norm FROM cp GROUP BY 1),
+dots_{e} AS (
+  SELECT l.{e} AS a, r.{e} AS b, sum(l.w * r.w) AS dot
+  FROM cp l JOIN cp r ON l.{k} = r.{k} AND l.{e} <> r.{e} GROUP BY 1, 2
+),
+sims_{e} AS (
+  SELECT d.a, d.b, d.dot / (na.norm * nb.norm) AS similarity
+  FROM dots_{e} d JOIN norms_{e} na ON na.id = d.a JOIN norms_{e} nb ON nb.id = d.b
+)"""
+
+
+def _neighbour_sql(limit: int, neighbours: int, weighted: bool, weight: str) -> str:
+    votes = ("SELECT customer_id, product_id, CAST(sum(quantity) AS DOUBLE) AS v FROM pur GROUP BY 1, 2"
+             if weight == "quantity" else "SELECT customer_id, product_id, CAST(w AS DOUBLE) AS v FROM cp")
+    contrib = "s.similarity * v.v" if weighted else "v.v"
+    return "WITH " + _REC + "," + _COS.format(e="customer_id", k="product_id") + f""",
+nb AS (
+  SELECT a, b, similarity FROM (
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS nr FROM sims_customer_id
+    WHERE similarity > 0) WHERE nr <= {neighbours}
+),
+votes AS ({votes}),
+sc AS (
+  SELECT s.a AS customer_id, v.product_id, sum({contrib}) AS score
+  FROM nb s JOIN votes v ON v.customer_id = s.b
+  WHERE NOT EXISTS (SELECT 1 FROM cp x WHERE x.customer_id = s.a AND x.product_id = v.product_id)
+  GROUP BY 1, 2
+),
+rk AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM sc),
+warm AS (SELECT customer_id, product_id, score, rank FROM rk WHERE rank <= {limit}),
+poprank AS (SELECT product_id, row_number() OVER (ORDER BY customers DESC, purchases DESC, revenue DESC, product_id) AS pop_rank FROM pop),
+coldc AS (SELECT DISTINCT customer_id FROM cp WHERE customer_id NOT IN (SELECT customer_id FROM warm)),
+cold AS (SELECT c.customer_id, p.product_id, CAST(NULL AS DOUBLE) AS score, p.pop_rank AS rank
+         FROM coldc c JOIN poprank p ON p.pop_rank <= {limit}),
+allr AS (SELECT * FROM warm UNION ALL SELECT * FROM cold)
+SELECT r.customer_id, CAST(r.rank AS INTEGER) AS rank, r.product_id, {_rx('round(r.score, 4)')} AS score,
+       coalesce(p.customers, 0) AS customers, {_rx('coalesce(p.revenue, 0.0)', 2)} AS revenue,
+       'Customers with similar purchase patterns also bought this product' AS reason
+FROM allr r LEFT JOIN pop p USING (product_id)"""
+
+
+_RAW.update({
+    "product_catalog": "WITH " + _REC + f"""
+SELECT product_id, product_name, {_r('price')}, popularity, {_r('revenue')} FROM catalog""",
+    "co_purchase": "WITH " + _REC + " SELECT product_a, product_b, n FROM co",
+    "recommend_products": "WITH " + _RECPROD + f"""
+SELECT customer_id, rank, product_id, product_name, {_r('price')}, score, reason FROM recs""",
+    "cross_sell": "WITH " + _REC + f""",
+t AS (SELECT *, row_number() OVER (PARTITION BY product_a ORDER BY n DESC, product_b) AS rank FROM co)
+SELECT t.product_a AS product_id, CAST(t.rank AS INTEGER) AS rank, t.product_b AS recommended_id, c.product_name,
+       {_rx('c.price', 2)} AS price, t.n, 'Frequently bought together' AS reason
+FROM t JOIN catalog c ON c.product_id = t.product_b WHERE t.rank <= 5""",
+    "upsell": "WITH " + _REC + f""",
+pr AS (
+  SELECT a.product_id AS a_id, b.product_id AS b_id, b.product_name, b.price, b.popularity
+  FROM catalog a JOIN catalog b ON b.price > a.price AND b.price <= a.price * 1.75 WHERE a.price > 0
+),
+t AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY popularity DESC, price, b_id) AS rank FROM pr)
+SELECT a_id AS product_id, CAST(rank AS INTEGER) AS rank, b_id AS recommended_id, product_name,
+       {_rx('price', 2)} AS price, 'Higher-value alternative' AS reason FROM t WHERE rank <= 3""",
+    "product_popularity": "WITH " + _REC + f" SELECT product_id, purchases, customers, {_r('revenue')} FROM pop",
+    "similar_products": "WITH " + _REC + "," + _COS.format(e="product_id", k="customer_id") + f""",
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM sims_product_id)
+SELECT a AS product_id, CAST(rank AS INTEGER) AS rank, b AS similar_id, {_rx('round(similarity, 4)')} AS similarity
+FROM t WHERE rank <= 10""",
+    "similar_customers": "WITH " + _REC + "," + _COS.format(e="customer_id", k="product_id") + f""",
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM sims_customer_id)
+SELECT a AS customer_id, CAST(rank AS INTEGER) AS rank, b AS similar_id, {_rx('round(similarity, 4)')} AS similarity
+FROM t WHERE rank <= 10""",
+    "neighbour_recommendations": _neighbour_sql(10, 20, True, "lines"),
+    "hybrid_recommendations": _neighbour_sql(10, 10, False, "quantity"),
+    "recommendation_metrics": "WITH " + _RECPROD + f""",
+dims AS (SELECT count(DISTINCT customer_id) AS nc, count(DISTINCT product_id) AS np, count(*) AS nnz FROM cp),
+per AS (SELECT customer_id, count(DISTINCT product_id) AS k FROM recs GROUP BY 1),
+m AS (SELECT (SELECT count(DISTINCT product_id) FROM recs) AS recommended_products,
+             (SELECT count(DISTINCT customer_id) FROM recs) AS customers_served,
+             (SELECT avg(k) FROM per) AS mean_distinct_per_customer, nc, np, nnz FROM dims)
+SELECT recommended_products, customers_served, {_r('mean_distinct_per_customer')},
+       {_rx('recommended_products / np * 100')} AS catalog_coverage_pct,
+       {_rx('1.0 - nnz / (nc * np)')} AS sparsity FROM m""",
+    "top_recommended": "WITH " + _RECPROD + """
+SELECT product_id, count(*) AS times_recommended FROM recs GROUP BY 1 ORDER BY times_recommended DESC, product_id LIMIT 10""",
+})
+ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})
