@@ -337,3 +337,83 @@ QUERIES.update({
     "recommendation_metrics": q_recommendation_metrics,
     "top_recommended": q_top_recommended,
 })
+
+
+# ---------------------------------------------------------------- wave 4: time series
+from tillsight.operators import series as _ser  # noqa: E402
+
+
+def strict_month_end(spark, sf_dir):
+    clean = cleaning.strict_clean(tables.strict_raw_transactions(spark, sf_dir))
+    return _ser.month_end_series(clean)
+
+
+def q_country_monthly_revenue(spark, sf_dir):
+    return _out(_ser.monthly_series(transactions(spark, sf_dir), keys=["country"]))
+
+
+def q_month_end_sales(spark, sf_dir):
+    return _out(strict_month_end(spark, sf_dir))
+
+
+def q_forecast_features(spark, sf_dir):
+    return _out(_ser.forecast_features(_ser.monthly_series(transactions(spark, sf_dir))))
+
+
+def q_strict_forecast_features(spark, sf_dir):
+    return _out(_ser.strict_forecast_features(strict_month_end(spark, sf_dir)))
+
+
+def q_next_month_features(spark, sf_dir):
+    return _out(_ser.next_month_features(strict_month_end(spark, sf_dir)))
+
+
+def q_growth_rolling(spark, sf_dir):
+    return _out(_ser.growth_and_rolling(strict_month_end(spark, sf_dir)))
+
+
+def q_naive_baseline(spark, sf_dir):
+    return _out(_ser.naive_baseline(strict_month_end(spark, sf_dir)))
+
+
+def q_sales_forecast(spark, sf_dir):
+    return _ser.forecast_monthly_sales(transactions(spark, sf_dir), 3)[0]
+
+
+def q_forecast_importance(spark, sf_dir):
+    return _ser.forecast_monthly_sales(transactions(spark, sf_dir), 3)[1]
+
+
+def _comparison(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "forecast_cmp")
+    if key not in _HUBS:
+        _HUBS[key] = _ser.compare_forecast_models(transactions(spark, sf_dir))
+    return _HUBS[key]
+
+
+def q_forecast_comparison(spark, sf_dir):
+    return _comparison(spark, sf_dir)[0]
+
+
+def q_forecast_model_ranking(spark, sf_dir):
+    return _ser.rank_models(_comparison(spark, sf_dir)[0])
+
+
+def q_forecast_interval(spark, sf_dir):
+    return _ser.forecast_with_uncertainty(transactions(spark, sf_dir), 3)
+
+
+QUERIES.update({
+    "country_monthly_revenue": q_country_monthly_revenue,
+    "month_end_sales": q_month_end_sales,
+    "forecast_features": q_forecast_features,
+    "strict_forecast_features": q_strict_forecast_features,
+    "next_month_features": q_next_month_features,
+    "growth_rolling": q_growth_rolling,
+    "naive_baseline": q_naive_baseline,
+    "sales_forecast": q_sales_forecast,
+    "forecast_importance": q_forecast_importance,
+    "forecast_comparison": q_forecast_comparison,
+    "forecast_model_ranking": q_forecast_model_ranking,
+    "forecast_interval": q_forecast_interval,
+})

@@ -580,3 +580,96 @@ SELECT recommended_products, customers_served, {_r('mean_distinct_per_customer')
 SELECT product_id, count(*) AS times_recommended FROM recs GROUP BY 1 ORDER BY times_recommended DESC, product_id LIMIT 10""",
 })
 ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})
+
+
+# ---------------------------------------------------------------- wave 4: time series
+_STRICT = TX + """,
+sraw AS (SELECT invoice_id AS "Invoice", product_name AS "Description", quantity AS "Quantity",
+                invoice_date AS "InvoiceDate", unit_price AS "Price", customer_id AS "Customer ID", country AS "Country"
+         FROM raw),
+sclean AS (
+  SELECT *, CAST("Quantity" * "Price" AS DOUBLE) AS "Sales"
+  FROM (SELECT DISTINCT * FROM sraw WHERE "Customer ID" IS NOT NULL)
+  WHERE "InvoiceDate" IS NOT NULL AND "Quantity" IS NOT NULL AND "Price" IS NOT NULL
+    AND NOT starts_with(CAST("Invoice" AS VARCHAR), 'C') AND "Quantity" > 0 AND "Price" > 0
+),
+me AS (SELECT last_day("InvoiceDate") AS "InvoiceDate", sum("Sales") AS "Sales" FROM sclean GROUP BY 1),
+mespine AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min("InvoiceDate")),
+                    date_trunc('month', max("InvoiceDate")), INTERVAL 1 MONTH)) AS DATE)) AS "InvoiceDate" FROM me),
+monthend AS (SELECT s."InvoiceDate", coalesce(m."Sales", 0.0) AS "Sales" FROM mespine s LEFT JOIN me m USING ("InvoiceDate"))"""
+
+_RAW.update({
+    "country_monthly_revenue": "WITH " + TX + f""",
+cm AS (SELECT country, CAST(date_trunc('month', invoice_date) AS DATE) AS month, sum(revenue) AS revenue
+       FROM tx WHERE revenue > 0 GROUP BY 1, 2),
+b AS (SELECT country, min(month) AS a, max(month) AS z FROM cm GROUP BY 1),
+sp AS (SELECT country, CAST(unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE) AS month FROM b)
+SELECT sp.country, sp.month, {_rx('coalesce(cm.revenue, 0.0)')} AS revenue
+FROM sp LEFT JOIN cm USING (country, month)""",
+    "month_end_sales": "WITH " + _STRICT + f""" SELECT "InvoiceDate", {_rx('"Sales"')} AS "Sales" FROM monthend""",
+    "forecast_features": "WITH " + _MONTHLY + f""",
+ff AS (
+  SELECT month AS invoice_date, revenue,
+    lag(revenue, 1) OVER w AS lag_1, lag(revenue, 2) OVER w AS lag_2, lag(revenue, 3) OVER w AS lag_3,
+    CASE WHEN count(revenue) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3
+         THEN avg(revenue) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS rolling_3,
+    CASE WHEN count(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) = 6
+         THEN avg(revenue) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) END AS rolling_6,
+    CAST(month(month) AS INTEGER) AS month, CAST(quarter(month) AS INTEGER) AS quarter,
+    CAST(row_number() OVER w - 1 AS INTEGER) AS trend
+  FROM monthly WINDOW w AS (ORDER BY month)
+)
+SELECT invoice_date, {_r('revenue')}, {_r('lag_1')}, {_r('lag_2')}, {_r('lag_3')}, {_r('rolling_3')},
+       {_r('rolling_6')}, month, quarter, trend FROM ff""",
+    "strict_forecast_features": "WITH " + _STRICT + f""",
+sf AS (
+  SELECT "InvoiceDate", "Sales", CAST(year("InvoiceDate") AS INTEGER) AS "Year",
+    CAST(month("InvoiceDate") AS INTEGER) AS "Month", CAST(quarter("InvoiceDate") AS INTEGER) AS "Quarter",
+    lag("Sales", 1) OVER w AS "Lag_1", lag("Sales", 2) OVER w AS "Lag_2", lag("Sales", 3) OVER w AS "Lag_3",
+    lag("Sales", 6) OVER w AS "Lag_6",
+    CASE WHEN count("Sales") OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3
+         THEN avg("Sales") OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS "RollingMean_3",
+    CASE WHEN count("Sales") OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) = 6
+         THEN avg("Sales") OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) END AS "RollingMean_6",
+    CASE WHEN count("Sales") OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) = 12
+         THEN avg("Sales") OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) END AS "RollingMean_12"
+  FROM monthend WINDOW w AS (ORDER BY "InvoiceDate")
+)
+SELECT "InvoiceDate", {_rx('"Sales"')} AS "Sales", "Year", "Month", "Quarter", {_rx('"Lag_1"')} AS "Lag_1",
+       {_rx('"Lag_2"')} AS "Lag_2", {_rx('"Lag_3"')} AS "Lag_3", {_rx('"Lag_6"')} AS "Lag_6",
+       {_rx('"RollingMean_3"')} AS "RollingMean_3", {_rx('"RollingMean_6"')} AS "RollingMean_6",
+       {_rx('"RollingMean_12"')} AS "RollingMean_12"
+FROM sf WHERE "Lag_6" IS NOT NULL AND "RollingMean_12" IS NOT NULL AND "Lag_1" IS NOT NULL""",
+    "next_month_features": "WITH " + _STRICT + f""",
+l AS (SELECT *, row_number() OVER (ORDER BY "InvoiceDate" DESC) AS k FROM monthend),
+g AS (SELECT count(*) FILTER (WHERE k <= 12) AS n, last_day(max("InvoiceDate") + INTERVAL 1 MONTH) AS d,
+        max("Sales") FILTER (WHERE k = 1) AS "Lag_1", max("Sales") FILTER (WHERE k = 2) AS "Lag_2",
+        max("Sales") FILTER (WHERE k = 3) AS "Lag_3", max("Sales") FILTER (WHERE k = 6) AS "Lag_6",
+        avg("Sales") FILTER (WHERE k <= 3) AS "RollingMean_3", avg("Sales") FILTER (WHERE k <= 6) AS "RollingMean_6",
+        avg("Sales") FILTER (WHERE k <= 12) AS "RollingMean_12" FROM l)
+SELECT d AS "InvoiceDate", CAST(year(d) AS INTEGER) AS "Year", CAST(month(d) AS INTEGER) AS "Month",
+       CAST(quarter(d) AS INTEGER) AS "Quarter", {_rx('"Lag_1"')} AS "Lag_1", {_rx('"Lag_2"')} AS "Lag_2",
+       {_rx('"Lag_3"')} AS "Lag_3", {_rx('"Lag_6"')} AS "Lag_6", {_rx('"RollingMean_3"')} AS "RollingMean_3",
+       {_rx('"RollingMean_6"')} AS "RollingMean_6", {_rx('"RollingMean_12"')} AS "RollingMean_12"
+FROM g WHERE n >= 12""",
+    "growth_rolling": "WITH " + _STRICT + f""",
+gr AS (
+  SELECT "InvoiceDate", "Sales",
+    ("Sales" - lag("Sales", 1) OVER w) / lag("Sales", 1) OVER w * 100 AS "GrowthRate",
+    CASE WHEN count("Sales") OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+         THEN avg("Sales") OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS "RollingMean_3",
+    CASE WHEN count("Sales") OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+         THEN stddev_samp("Sales") OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS "RollingStd_3",
+    monthname("InvoiceDate") AS "MonthName", CAST(isodow("InvoiceDate") - 1 AS INTEGER) AS "Weekday"
+  FROM monthend WINDOW w AS (ORDER BY "InvoiceDate")
+)
+SELECT "InvoiceDate", {_rx('"Sales"')} AS "Sales", {_rx('"GrowthRate"')} AS "GrowthRate",
+       {_rx('"RollingMean_3"')} AS "RollingMean_3", {_rx('"RollingStd_3"')} AS "RollingStd_3", "MonthName", "Weekday"
+FROM gr""",
+    "naive_baseline": "WITH " + _STRICT + f""",
+r AS (SELECT *, row_number() OVER (ORDER BY "InvoiceDate") AS i, count(*) OVER () AS n FROM monthend),
+s AS (SELECT max(CAST(floor(n * 0.8) AS BIGINT)) AS split FROM r),
+b AS (SELECT r."Sales" AS naive FROM r, s WHERE r.i = s.split)
+SELECT r."InvoiceDate", {_rx('r."Sales"')} AS actual, {_rx('b.naive')} AS naive_forecast FROM r, s, b WHERE r.i > s.split""",
+})
+ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})

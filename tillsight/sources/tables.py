@@ -72,3 +72,14 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("unit_price"),
         F.lit("Unknown").alias("country"),
     )
+
+
+STRICT_NAMES = {"invoice_id": "Invoice", "product_name": "Description", "quantity": "Quantity",
+                "invoice_date": "InvoiceDate", "unit_price": "Price", "customer_id": "Customer ID",
+                "country": "Country"}
+
+
+def strict_raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines under the title-case contract (Invoice, Description, ...)."""
+    raw = raw_transactions(spark, sf_dir)
+    return raw.select(*[F.col(c).alias(STRICT_NAMES[c]) for c in raw.columns if c in STRICT_NAMES])
