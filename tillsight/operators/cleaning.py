@@ -59,7 +59,7 @@ def validate_transactions(df: DataFrame) -> ValidationReport:
     return ValidationReport(not errors, errors, warnings, rows, row)
 
 
-def clean_transactions(df: DataFrame, validate: bool = False) -> DataFrame:
+def clean_transactions(df: DataFrame, validate: bool = False, dedupe: bool = True) -> DataFrame:
     """Canonical cleaning.
 
     Full-row dedupe (before any cast), dates to TIMESTAMP_NTZ, ids to trimmed
@@ -78,7 +78,8 @@ def clean_transactions(df: DataFrame, validate: bool = False) -> DataFrame:
         if missing:
             raise ValueError(f"Missing required columns: {', '.join(missing)}")
     schema = {f.name: f.dataType for f in out.schema.fields}
-    out = out.dropDuplicates()
+    if dedupe:
+        out = out.dropDuplicates()
     cols = []
     for c in out.columns:
         if c == "invoice_date":
