@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 from tillsight.plans.ranking import exact_quantiles, global_cumsum, global_rank, ranks_by
 
 
-def test_global_rank_matches_window(spark):
+import pytest
+
+PATHS = [0, None]   # 0: range-partitioned plan, None: proven-small window plan
+
+
+@pytest.mark.parametrize("small_limit", PATHS)
+def test_global_rank_matches_window(spark, small_limit):
     rows = [(f"c{i:03d}", float(i % 7), i % 3) for i in range(200)]
     df = spark.createDataFrame(rows, "id string, v double, g int")
-    got = {r["id"]: r["rank"] for r in global_rank(df, ["v"], ["id"], num_partitions=5).collect()}
+    got = {r["id"]: r["rank"] for r in global_rank(df, ["v"], ["id"], num_partitions=5, small_limit=small_limit).collect()}
     want = {r["id"]: r["r"] for r in df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("r")).collect()}
     assert got == want
 
 
-def test_global_rank_descending(spark):
+@pytest.mark.parametrize("small_limit", PATHS)
+def test_global_rank_descending(spark, small_limit):
     df = spark.createDataFrame([(f"c{i}", i % 4) for i in range(40)], "id string, v int")
-    got = {r["id"]: r["rank"] for r in global_rank(df, [("v", False)], ["id"], num_partitions=3).collect()}
+    got = {r["id"]: r["rank"] for r in global_rank(df, [("v", False)], ["id"], num_partitions=3, small_limit=small_limit).collect()}
     want = {r["id"]: r["r"] for r in df.select(
         "id", F.row_number().over(Window.orderBy(F.col("v").desc(), "id")).alias("r")).collect()}
     assert got == want
@@ -35,10 +42,11 @@ def test_grouped_cumsum_with_hot_group(spark):
     assert got == want
 
 
-def test_ranks_by_several_columns(spark):
+@pytest.mark.parametrize("small_limit", PATHS)
+def test_ranks_by_several_columns(spark, small_limit):
     rows = [(f"c{i:02d}", i % 5, (i * 7) % 11) for i in range(50)]
     df = spark.createDataFrame(rows, "id string, a int, b int")
-    r = {x["id"]: x for x in ranks_by(df, "id", {"ra": "a", "rb": "b"}).collect()}
+    r = {x["id"]: x for x in ranks_by(df, "id", {"ra": "a", "rb": "b"}, small_limit=small_limit).collect()}
     wa = {x["id"]: x["r"] for x in df.select("id", F.row_number().over(Window.orderBy("a", "id")).alias("r")).collect()}
     assert all(r[k]["ra"] == wa[k] for k in wa)
     assert all(x["ra_n"] == 50 for x in r.values())
@@ -49,12 +57,14 @@ def test_ranks_by_several_columns(spark):
        st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]))
 def test_exact_quantiles_match_numpy(spark, values, q):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = exact_quantiles(df, {"q": ("x", q)}, num_partitions=3).first()["q"]
-    assert np.isclose(got, np.quantile(np.array(values, dtype=float), q))
+    for small_limit in PATHS:
+        got = exact_quantiles(df, {"q": ("x", q)}, num_partitions=3, small_limit=small_limit).first()["q"]
+        assert np.isclose(got, np.quantile(np.array(values, dtype=float), q))
 
 
-def test_grouped_quantiles(spark):
+@pytest.mark.parametrize("small_limit", PATHS)
+def test_grouped_quantiles(spark, small_limit):
     rows = [("a", float(v)) for v in range(11)] + [("b", float(v)) for v in (1, 1, 2, 10)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r["g"]: r["m"] for r in exact_quantiles(df, {"m": ("x", 0.5)}, by=["g"]).collect()}
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, {"m": ("x", 0.5)}, by=["g"], small_limit=small_limit).collect()}
     assert got == {"a": 5.0, "b": 1.5}

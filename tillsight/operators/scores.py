@@ -74,14 +74,20 @@ def rfm_analysis(features: DataFrame) -> DataFrame:
     return out.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
 
 
-def add_customer_scores(features: DataFrame) -> DataFrame:
+SCORE_QUANTILES = {"rec90": ("recency_days", 0.9), "freq90": ("frequency", 0.9), "ret90": ("return_rate", 0.9)}
+PERSONA_QUANTILES = {
+    "m80": ("monetary_value", 0.8), "f80": ("frequency", 0.8), "aov80": ("avg_order_value", 0.8),
+    "r75": ("recency_days", 0.75), "t25": ("tenure_days", 0.25), "d75": ("product_diversity", 0.75),
+    "r40": ("recency_days", 0.4)}
+
+
+def add_customer_scores(features: DataFrame, thresholds=None) -> DataFrame:
     """RFM quintiles, CLV, churn risk and health score."""
     scored = quintile_scores(
         features,
         {"r_score": ("recency_days", False), "f_score": ("frequency", True), "m_score": ("monetary_value", True)})
     scored = scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
-    q = quantile_values(features, {"rec90": ("recency_days", 0.9), "freq90": ("frequency", 0.9),
-                                   "ret90": ("return_rate", 0.9)})
+    q = thresholds if thresholds is not None else quantile_values(features, SCORE_QUANTILES)
     months = clip(F.lit(18) - F.col("recency_days") / 12 + F.col("purchase_rate"), 1, 36)
     clv = F.greatest(F.col("avg_order_value") * F.col("purchase_rate") * months * CLV_MARGIN, F.lit(0.0))
     rn = F.col("recency_days") / F.greatest(F.lit(1.0), q["rec90"])
@@ -99,12 +105,9 @@ def add_customer_scores(features: DataFrame) -> DataFrame:
     })
 
 
-def assign_personas(customers: DataFrame) -> DataFrame:
+def assign_personas(customers: DataFrame, thresholds=None) -> DataFrame:
     """First matching of six ordered rules, else "Regular customers"."""
-    q = quantile_values(customers, {
-        "m80": ("monetary_value", 0.8), "f80": ("frequency", 0.8), "aov80": ("avg_order_value", 0.8),
-        "r75": ("recency_days", 0.75), "t25": ("tenure_days", 0.25), "d75": ("product_diversity", 0.75),
-        "r40": ("recency_days", 0.4)})
+    q = thresholds if thresholds is not None else quantile_values(customers, PERSONA_QUANTILES)
     m, f, aov = F.col("monetary_value"), F.col("frequency"), F.col("avg_order_value")
     r, t, d = F.col("recency_days"), F.col("tenure_days"), F.col("product_diversity")
     conds = [
@@ -159,5 +162,7 @@ def rfm_segments(customers: DataFrame) -> DataFrame:
 
 
 def customer_table(features: DataFrame) -> DataFrame:
-    """Scores, personas and tiers in the reference's order."""
-    return assign_customer_tiers(assign_personas(add_customer_scores(features)))
+    """Scores, personas and tiers in the reference's order.  All ten thresholds
+    are quantiles of feature columns, so they come from one quantile job."""
+    q = quantile_values(features, {**SCORE_QUANTILES, **PERSONA_QUANTILES})
+    return assign_customer_tiers(assign_personas(add_customer_scores(features, q), q))

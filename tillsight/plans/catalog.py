@@ -71,14 +71,13 @@ def q_rfm_scores(spark, sf_dir):
 
 
 def q_customer_scores(spark, sf_dir):
-    c = scores.add_customer_scores(customer_features(spark, sf_dir))
+    c = customers(spark, sf_dir)
     return _out(c.select("customer_id", "r_score", "f_score", "m_score", "rfm_score",
                          "clv_estimate", "churn_risk", "health_score"))
 
 
 def q_personas(spark, sf_dir):
-    c = scores.assign_personas(scores.add_customer_scores(customer_features(spark, sf_dir)))
-    return c.select("customer_id", "persona")
+    return customers(spark, sf_dir).select("customer_id", "persona")
 
 
 def q_customer_tiers(spark, sf_dir):
