@@ -104,3 +104,14 @@ def id_text(c: Column, dtype: T.DataType) -> Column:
 
 def cols_exist(df: DataFrame, cols) -> bool:
     return all(c in df.columns for c in cols)
+
+
+def combine_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Add the columns of one-row aggregate frames to ``first`` without a join:
+    each other frame becomes one struct-valued scalar subquery (referenced once
+    per field, executed once)."""
+    cols = [F.col(c) for c in first.columns]
+    for o in others:
+        s = o.select(F.struct(*[F.col(c) for c in o.columns]).alias("s")).scalar()
+        cols += [s.getField(c).alias(c) for c in o.columns]
+    return first.select(*cols)

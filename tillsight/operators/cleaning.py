@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tillsight.functions.exprs import combine_rows
 from pyspark.sql import types as T
 
 from tillsight.functions.exprs import finite_or_zero, id_text, to_ntz, to_number
@@ -122,7 +124,7 @@ def strict_validation(df: DataFrame):
         F.count_if(F.col("Customer ID").isNull()).alias("null_customer"),
     )
     distinct_rows = std.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-    report = counts.crossJoin(distinct_rows).withColumn(
+    report = combine_rows(counts, distinct_rows).withColumn(
         "duplicates", F.col("rows") - F.col("distinct_rows")).drop("distinct_rows")
     return report, None, warnings
 

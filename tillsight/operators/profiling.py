@@ -8,6 +8,8 @@ import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tillsight.functions.exprs import combine_rows
 from pyspark.sql import types as T
 
 from tillsight.functions.exprs import to_ntz, to_number
@@ -22,14 +24,14 @@ def _missing_cells(df: DataFrame):
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each identical group: count - distinct count."""
-    return df.agg(F.count(F.lit(1)).alias("n")).crossJoin(
-        df.distinct().agg(F.count(F.lit(1)).alias("d"))).select((F.col("n") - F.col("d")).alias("duplicates"))
+    return combine_rows(df.agg(F.count(F.lit(1)).alias("n")),
+                        df.distinct().agg(F.count(F.lit(1)).alias("d"))).select((F.col("n") - F.col("d")).alias("duplicates"))
 
 
 def profile_overview(df: DataFrame) -> DataFrame:
     """``metric, value`` rows: rows, columns, duplicate rows, missing cells."""
     a = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_missing_cells(df)).alias("missing"))
-    j = a.crossJoin(duplicate_rows(df))
+    j = combine_rows(a, duplicate_rows(df))
     return j.selectExpr(
         f"stack(4, 'Rows', CAST(rows AS DOUBLE), 'Columns', CAST({len(df.columns)} AS DOUBLE), "
         "'Duplicate rows', CAST(duplicates AS DOUBLE), 'Missing cells', CAST(coalesce(missing, 0) AS DOUBLE)) "
@@ -70,7 +72,7 @@ def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
             x = F.col(c).cast("double")
             out_aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"o{i}"))
-        stats = stats.crossJoin(df.agg(*out_aggs))
+        stats = combine_rows(stats, df.agg(*out_aggs))
     rows = []
     for i, c in enumerate(cols):
         is_num = c in numeric
@@ -92,10 +94,10 @@ def quality_comparison(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Rows, duplicate rows, missing cells before and after cleaning."""
     def figures(df, tag):
         a = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_missing_cells(df)).alias("missing"))
-        return a.crossJoin(duplicate_rows(df)).select(
+        return combine_rows(a, duplicate_rows(df)).select(
             F.col("rows").alias(f"rows_{tag}"), F.col("duplicates").alias(f"dup_{tag}"),
             F.coalesce(F.col("missing"), F.lit(0)).alias(f"miss_{tag}"))
-    j = figures(raw, "b").crossJoin(figures(clean, "a"))
+    j = combine_rows(figures(raw, "b"), figures(clean, "a"))
     return j.selectExpr(
         "stack(3, 'Rows', rows_b, rows_a, rows_a - rows_b, "
         "'Duplicate rows', dup_b, dup_a, dup_a - dup_b, "
@@ -120,8 +122,8 @@ def cleaning_audit(raw: DataFrame, clean: DataFrame) -> DataFrame:
     aggs.append((F.count_if(p.isNull()) if p is not None else F.lit(0).cast("long")).alias("invalid_price"))
     aggs.append((F.count_if(q == 0) if q is not None else F.lit(0).cast("long")).alias("zero_quantity"))
     aggs.append((F.count_if(p < 0) if p is not None else F.lit(0).cast("long")).alias("negative_price"))
-    figures = raw.agg(*aggs).crossJoin(duplicate_rows(raw)).crossJoin(
-        clean.agg(F.count(F.lit(1)).alias("clean_rows")))
+    figures = combine_rows(raw.agg(*aggs), duplicate_rows(raw),
+                           clean.agg(F.count(F.lit(1)).alias("clean_rows")))
     checks = [("Duplicate rows", "duplicates"), ("Rows with missing required fields", "missing_required"),
               ("Invalid transaction dates", "invalid_dates"), ("Non-numeric quantities", "invalid_quantity"),
               ("Non-numeric prices", "invalid_price"), ("Zero-quantity rows", "zero_quantity"),

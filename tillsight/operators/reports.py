@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.functions.exprs import combine_rows
+
 from tillsight.functions.exprs import month_start
 from tillsight.plans.ranking import exact_quantiles
 
@@ -26,7 +28,7 @@ def run_summary_kpis(tx: DataFrame, customers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"),
         F.avg("health_score").alias("average_health"),
         F.count_if(F.col("persona") == "At-risk customers").alias("at_risk_customers"))
-    return t.crossJoin(c).select(
+    return combine_rows(t, c).select(
         F.round("revenue", 2).alias("revenue"), "customers", "orders",
         F.round("average_health", 1).alias("average_health"), "at_risk_customers")
 
@@ -225,7 +227,7 @@ def typical_customer(cohort: DataFrame, features: list[str] = PROFILE_FEATURES)
     modes = cohort.agg(F.mode("persona", deterministic=True).alias("persona"),
                        F.mode("customer_tier", deterministic=True).alias("customer_tier"),
                        F.count(F.lit(1)).alias("customers"))
-    return med.crossJoin(modes)
+    return combine_rows(med, modes)
 
 
 def top_n(df: DataFrame, col: str, n: int = 10, key: str = "customer_id", ascending: bool = False) -> DataFrame:

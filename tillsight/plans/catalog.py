@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tillsight.functions.exprs import combine_rows
 from pyspark.sql import types as T
 
 from tillsight.functions.exprs import round_half_up
@@ -144,7 +146,7 @@ def q_run_summary_kpis(spark, sf_dir):
 
 def q_customer_kpis(spark, sf_dir):
     c = customer_features(spark, sf_dir)
-    return _out(_rep.customer_kpis(c).crossJoin(_rep.median_recency(c)))
+    return _out(combine_rows(_rep.customer_kpis(c), _rep.median_recency(c)))
 
 
 def q_revenue_by_tier(spark, sf_dir):
