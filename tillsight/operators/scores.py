@@ -166,3 +166,49 @@ def customer_table(features: DataFrame) -> DataFrame:
     are quantiles of feature columns, so they come from one quantile job."""
     q = quantile_values(features, {**SCORE_QUANTILES, **PERSONA_QUANTILES})
     return assign_customer_tiers(assign_personas(add_customer_scores(features, q), q))
+
+
+# ---- fixed values that must equal the reference (notebook scoring) ----
+NOTEBOOK_SCORE_WEIGHTS = [("TotalSpent", 0.30), ("Monetary", 0.25), ("Frequency", 0.20),
+                          ("TotalTransactions", 0.15), ("TotalQuantity", 0.05)]
+NOTEBOOK_RECENCY_WEIGHT = 0.05
+NOTEBOOK_TIER_CUTS = [(0.90, "Platinum"), (0.70, "Gold"), (0.40, "Silver")]
+# ---- end of fixed values ----
+
+
+def notebook_customer_table(clean: DataFrame, customer: str = "Customer ID", invoice: str = "Invoice",
+                            qty: str = "Quantity", sales: str = "Sales", date: str = "InvoiceDate") -> DataFrame:
+    """The notebooks' customer table on strictly cleaned lines: transactions,
+    quantity, spend, last purchase; recency in whole days from the latest
+    purchase (no +1 day); min-max scaled weighted score rescaled to 0..1;
+    tiers at the score's 40/70/90% quantiles."""
+    from tillsight.functions.exprs import whole_days
+    base = clean.groupBy(F.col(customer).alias("CustomerID")).agg(
+        F.count_distinct(invoice).alias("TotalTransactions"), F.sum(qty).alias("TotalQuantity"),
+        F.sum(sales).alias("TotalSpent"), F.max(date).alias("LastPurchaseDate"))
+    ref = base.agg(F.max("LastPurchaseDate")).first()[0]
+    base = base.withColumns({
+        "Recency": whole_days(F.lit(ref).cast("timestamp_ntz"), F.col("LastPurchaseDate")),
+        "Frequency": F.col("TotalTransactions"), "Monetary": F.col("TotalSpent")})
+    feats = ["TotalSpent", "Monetary", "Frequency", "TotalTransactions", "TotalQuantity", "Recency"]
+    mm = base.agg(*[F.min(c).cast("double").alias(f"lo_{c}") for c in feats],
+                  *[F.max(c).cast("double").alias(f"hi_{c}") for c in feats]).first()
+
+    def scaled(c):
+        lo, hi = mm[f"lo_{c}"], mm[f"hi_{c}"]
+        return (F.col(c).cast("double") - F.lit(lo)) / F.lit(hi - lo) if hi != lo else F.lit(0.0)
+
+    raw = None
+    for c, wgt in NOTEBOOK_SCORE_WEIGHTS:
+        term = scaled(c) * F.lit(wgt)
+        raw = term if raw is None else raw + term
+    raw = raw + (F.lit(1.0) - scaled("Recency")) * F.lit(NOTEBOOK_RECENCY_WEIGHT)
+    s = base.withColumn("_raw", raw)
+    r = s.agg(F.min("_raw").alias("a"), F.max("_raw").alias("b")).first()
+    span = (r["b"] - r["a"]) if r["a"] is not None else 0.0
+    s = s.withColumn("CustomerScore", (F.col("_raw") - F.lit(r["a"])) / F.lit(span) if span else F.lit(0.0))
+    q = exact_quantiles(s, {f"c{i}": ("CustomerScore", p) for i, (p, _) in enumerate(NOTEBOOK_TIER_CUTS)}).first()
+    tier = F.lit("Bronze")
+    for i in reversed(range(len(NOTEBOOK_TIER_CUTS))):
+        tier = F.when(F.col("CustomerScore") >= F.lit(q[f"c{i}"]), F.lit(NOTEBOOK_TIER_CUTS[i][1])).otherwise(tier)
+    return s.drop("_raw").withColumn("Tier", tier)

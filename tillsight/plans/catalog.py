@@ -572,3 +572,21 @@ QUERIES.update({
     "churn_explanations": q_churn_explanations,
     "tree_facts": q_tree_facts,
 })
+
+
+# ---------------------------------------------------------------- wave 6: notebook tables, profile filter
+def q_notebook_customer_tiers(spark, sf_dir):
+    clean = cleaning.strict_clean(tables.strict_raw_transactions(spark, sf_dir))
+    t = scores.notebook_customer_table(clean)
+    return _out(t.select("CustomerID", "Recency", "Frequency", "Monetary", "TotalQuantity", "CustomerScore", "Tier"))
+
+
+def q_typical_customer(spark, sf_dir):
+    c = _rep.profile_cohort(customers(spark, sf_dir), {"frequency": (5, 12), "recency_days": (0, 365)})
+    return _out(_rep.typical_customer(c))
+
+
+QUERIES.update({
+    "notebook_customer_tiers": q_notebook_customer_tiers,
+    "typical_customer": q_typical_customer,
+})

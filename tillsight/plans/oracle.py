@@ -673,3 +673,37 @@ b AS (SELECT r."Sales" AS naive FROM r, s WHERE r.i = s.split)
 SELECT r."InvoiceDate", {_rx('r."Sales"')} AS actual, {_rx('b.naive')} AS naive_forecast FROM r, s, b WHERE r.i > s.split""",
 })
 ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})
+
+
+# ---------------------------------------------------------------- wave 6
+_PROFILE = ["recency_days", "frequency", "monetary_value", "avg_order_value", "tenure_days",
+            "purchase_rate", "return_rate", "product_diversity"]
+
+_RAW.update({
+    "notebook_customer_tiers": "WITH " + _STRICT + f""",
+cb AS (SELECT "Customer ID" AS "CustomerID", count(DISTINCT "Invoice") AS tt, CAST(sum("Quantity") AS BIGINT) AS tq,
+              sum("Sales") AS ts, max("InvoiceDate") AS lp FROM sclean GROUP BY 1),
+c2 AS (SELECT *, (epoch_us((SELECT max(lp) FROM cb)) - epoch_us(lp)) // 86400000000 AS rec FROM cb),
+mm AS (SELECT min(ts) AS ts0, max(ts) AS ts1, min(tt) AS tt0, max(tt) AS tt1, min(tq) AS tq0, max(tq) AS tq1,
+              min(rec) AS r0, max(rec) AS r1 FROM c2),
+sc AS (
+  SELECT c2.*, ((ts - ts0) / (ts1 - ts0)) * 0.30 + ((ts - ts0) / (ts1 - ts0)) * 0.25
+       + (CAST(tt - tt0 AS DOUBLE) / (tt1 - tt0)) * 0.20 + (CAST(tt - tt0 AS DOUBLE) / (tt1 - tt0)) * 0.15
+       + (CAST(tq - tq0 AS DOUBLE) / (tq1 - tq0)) * 0.05 + (1.0 - CAST(rec - r0 AS DOUBLE) / (r1 - r0)) * 0.05 AS raw
+  FROM c2, mm
+),
+s2 AS (SELECT *, (raw - (SELECT min(raw) FROM sc)) / ((SELECT max(raw) FROM sc) - (SELECT min(raw) FROM sc)) AS score FROM sc),
+qt AS (SELECT quantile_cont(score, 0.4) AS q40, quantile_cont(score, 0.7) AS q70, quantile_cont(score, 0.9) AS q90 FROM s2)
+SELECT "CustomerID", rec AS "Recency", tt AS "Frequency", {_rx('ts')} AS "Monetary", tq AS "TotalQuantity",
+       {_rx('score')} AS "CustomerScore",
+       CASE WHEN score >= q90 THEN 'Platinum' WHEN score >= q70 THEN 'Gold' WHEN score >= q40 THEN 'Silver'
+            ELSE 'Bronze' END AS "Tier"
+FROM s2, qt""",
+    "typical_customer": "WITH " + SCORES + """,
+coh AS (SELECT * FROM customers WHERE frequency BETWEEN 5 AND 12 AND recency_days BETWEEN 0 AND 365)
+SELECT """ + ", ".join(_rx(f"(SELECT quantile_cont({f}, 0.5) FROM coh)") + f" AS {f}" for f in _PROFILE) + """,
+  (SELECT persona FROM coh GROUP BY persona ORDER BY count(*) DESC, persona LIMIT 1) AS persona,
+  (SELECT customer_tier FROM coh GROUP BY customer_tier ORDER BY count(*) DESC, customer_tier LIMIT 1) AS customer_tier,
+  (SELECT count(*) FROM coh) AS customers""",
+})
+ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})
