@@ -151,3 +151,23 @@ def test_correlation_is_symmetric(spark):
     df = spark.createDataFrame([(float(i), float(i * 2 + 1), float((i * 7) % 5)) for i in range(20)], "a double, b double, c double")
     c = {(r["feature_a"], r["feature_b"]): r["correlation"] for r in reports.correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert math.isclose(c[("a", "b")], 1.0) and math.isclose(c[("a", "c")], c[("c", "a")])
+
+
+def test_tfidf_similarity_matches_numpy(spark):
+    names = ["red mug", "blue mug", "red pen", "small blue pen", "the mug"]
+    rows = [(str(i), "A", D(2024, 1, 1), f"P{i}", nm, 1, 1.0, "UK") for i, nm in enumerate(names)]
+    got = {(r["description"], r["similar_description"]): r["similarity"]
+           for r in recommend.tfidf_similar_descriptions(_tx(spark, rows), 10).collect()}
+    # brute force: "the" is an English stop word
+    docs = [[t for t in nm.split() if t != "the"] for nm in names]
+    vocab = sorted({t for d in docs for t in d})
+    n = len(docs)
+    dfc = {t: sum(t in d for d in docs) for t in vocab}
+    m = np.array([[d.count(t) * (math.log((1 + n) / (1 + dfc[t])) + 1) for t in vocab] for d in docs])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = m @ m.T
+    for i, j in itertools.permutations(range(n), 2):
+        if sim[i, j] > 0:
+            assert math.isclose(got[(names[i], names[j])], round(sim[i, j], 4), abs_tol=1e-4)
+        else:
+            assert (names[i], names[j]) not in got

@@ -590,3 +590,10 @@ QUERIES.update({
     "notebook_customer_tiers": q_notebook_customer_tiers,
     "typical_customer": q_typical_customer,
 })
+
+
+def q_similar_descriptions(spark, sf_dir):
+    return _out(_rec.tfidf_similar_descriptions(transactions(spark, sf_dir), 5))
+
+
+QUERIES["similar_descriptions"] = q_similar_descriptions
