@@ -171,3 +171,14 @@ def test_tfidf_similarity_matches_numpy(spark):
             assert math.isclose(got[(names[i], names[j])], round(sim[i, j], 4), abs_tol=1e-4)
         else:
             assert (names[i], names[j]) not in got
+
+
+def test_features_do_not_depend_on_session_zone(spark):
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        f = {r["customer_id"]: r for r in features.build_customer_features(_tx(spark, sample_rows())).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert f["A"]["recency_days"] == 5 and f["A"]["tenure_days"] == 69
+    assert f["A"]["last_purchase"] == D(2024, 3, 5)

@@ -115,3 +115,9 @@ def combine_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
         s = o.select(F.struct(*[F.col(c) for c in o.columns]).alias("s")).scalar()
         cols += [s.getField(c).alias(c) for c in o.columns]
     return first.select(*cols)
+
+
+def ntz_literal(dt) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime, built from its text so
+    neither the Python nor the session time zone shifts it."""
+    return F.lit(dt.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")

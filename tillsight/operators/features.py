@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions.exprs import finite_or_zero, whole_days
+from tillsight.functions.exprs import finite_or_zero, ntz_literal, whole_days
 
 FEATURE_COLUMNS = [
     "customer_id", "recency_days", "frequency", "monetary_value", "avg_order_value",
@@ -61,7 +61,7 @@ def build_customer_features(tx: DataFrame, as_of=None) -> DataFrame:
         F.avg(F.col("is_return").cast("double")).alias("return_rate"),
         (F.count_distinct(p(F.col("stock_code"))) if has_stock else F.lit(0).cast("long")).alias("product_diversity"),
     ).where(F.col("_lines") > 0)
-    ref_c = F.lit(ref).cast("timestamp_ntz")
+    ref_c = ntz_literal(ref)
     rec = whole_days(ref_c, F.col("last_purchase"))
     ten = whole_days(ref_c, F.col("first_purchase"))
     out = agg.select(

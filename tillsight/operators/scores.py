@@ -182,13 +182,13 @@ def notebook_customer_table(clean: DataFrame, customer: str = "Customer ID", inv
     quantity, spend, last purchase; recency in whole days from the latest
     purchase (no +1 day); min-max scaled weighted score rescaled to 0..1;
     tiers at the score's 40/70/90% quantiles."""
-    from tillsight.functions.exprs import whole_days
+    from tillsight.functions.exprs import ntz_literal, whole_days
     base = clean.groupBy(F.col(customer).alias("CustomerID")).agg(
         F.count_distinct(invoice).alias("TotalTransactions"), F.sum(qty).alias("TotalQuantity"),
         F.sum(sales).alias("TotalSpent"), F.max(date).alias("LastPurchaseDate"))
     ref = base.agg(F.max("LastPurchaseDate")).first()[0]
     base = base.withColumns({
-        "Recency": whole_days(F.lit(ref).cast("timestamp_ntz"), F.col("LastPurchaseDate")),
+        "Recency": whole_days(ntz_literal(ref), F.col("LastPurchaseDate")),
         "Frequency": F.col("TotalTransactions"), "Monetary": F.col("TotalSpent")})
     feats = ["TotalSpent", "Monetary", "Frequency", "TotalTransactions", "TotalQuantity", "Recency"]
     mm = base.agg(*[F.min(c).cast("double").alias(f"lo_{c}") for c in feats],
