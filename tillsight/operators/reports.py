@@ -248,3 +248,17 @@ def forecast_head(forecast: DataFrame, n: int = 1) -> DataFrame:
 def forecast_totals(forecast: DataFrame, col: str = "forecast_revenue") -> DataFrame:
     return forecast.agg(F.sum(col).alias("total"), F.avg(col).alias("average"),
                         F.max(col).alias("peak"), F.max_by("month", col).alias("peak_month"))
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """count, mean, sample std, min, max per numeric column (long form), one aggregate."""
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*aggs)
+    items = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
+                      F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+             for i, c in enumerate(columns)]
+    return row.select(F.explode(F.array(*items)).alias("d")).select("d.*")

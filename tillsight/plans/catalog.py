@@ -401,7 +401,7 @@ def q_forecast_model_ranking(spark, sf_dir):
 
 
 def q_forecast_interval(spark, sf_dir):
-    return _ser.forecast_with_uncertainty(transactions(spark, sf_dir), 3)
+    return _ser.forecast_with_uncertainty(transactions(spark, sf_dir), 3, comparison=_comparison(spark, sf_dir))
 
 
 QUERIES.update({
@@ -597,3 +597,10 @@ def q_similar_descriptions(spark, sf_dir):
 
 
 QUERIES["similar_descriptions"] = q_similar_descriptions
+
+
+def q_describe_features(spark, sf_dir):
+    return _out(_rep.describe(customer_features(spark, sf_dir), CORR_COLUMNS))
+
+
+QUERIES["describe_features"] = q_describe_features

@@ -707,3 +707,10 @@ SELECT """ + ", ".join(_rx(f"(SELECT quantile_cont({f}, 0.5) FROM coh)") + f" AS
   (SELECT count(*) FROM coh) AS customers""",
 })
 ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})
+
+
+_RAW["describe_features"] = "WITH " + FEATURES + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, {_rx(f'avg(CAST({c} AS DOUBLE))')} AS mean, "
+    f"{_rx(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std, {_rx(f'min(CAST({c} AS DOUBLE))')} AS min, "
+    f"{_rx(f'max(CAST({c} AS DOUBLE))')} AS max FROM features" for c in _CORR_COLS)
+ORACLE.update({k: _dbl(v) for k, v in _RAW.items() if k not in ORACLE})
