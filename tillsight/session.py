@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,19 +37,23 @@ def build_session(app: str = "tillsight", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; invent one only when unset.
+    """The cluster's shared folder, as named in ``spark.checkpoint.dir``.
 
-    The fallback (a fresh temporary folder) is meant for tests on one machine.
+    A temporary folder is made only when the setting is missing and the master
+    is ``local[...]``, where driver and tasks are one process (tests).  On a
+    cluster a missing setting is an error: a machine-local folder would be
+    invisible to the other executors.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tillsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    current = configured or sc.getCheckpointDir()
+    if not current:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="tillsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() if not configured else current
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -56,8 +61,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage: a reliable checkpoint written to
-    the shared checkpoint directory (never a machine-local cache), so a lost
-    executor does not trigger recomputation from the raw tables."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, write it as Parquet to a fresh folder below the shared
+    checkpoint directory and read it back.
+
+    This cuts the lineage (a lost executor re-reads files, it does not replay the
+    upstream plan), and later readers keep column pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillsight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
