@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,38 +16,77 @@ from tillsight.llm.common import dense_ordinals, select_text
 from tillsight.llm.trees import CapacityTree
 from tillsight.session import materialize
 
-#: Words whose ids a task keeps at most (about 150 bytes each).
-WORD_CACHE = 300_000
+#: Entries of one generation of a cache (about 200 bytes each, two generations).
+CACHED = 400_000
 
+_ENCODERS: dict[str, Callable] = {}  # by path: a reused Python worker keeps its caches
 
-_ENCODERS: dict[str, Callable] = {}  # by path: a reused Python worker keeps its cache
+
+class Generations(dict):
+    """A bounded cache: when full it becomes the old generation, from which entries
+    still in use are taken over."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def turn(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys) -> list:
+        """Those of ``keys`` that neither generation holds."""
+        new = []
+        for k in keys:
+            got = self.old.get(k)
+            if got is None:
+                new.append(k)
+            else:
+                self[k] = got
+        return new
 
 
 def word_tokenizer(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to token ids, each 4 bytes little-endian, as ``encode(text)`` gives them.
 
-    For tokenizers that split at white space before merging: a text's ids are those of
-    its white-space-separated words one after another.  So each word is encoded once and
-    kept in a cache of bounded size.
+    For lower-casing tokenizers that split at white space, and at the end of a run of
+    letters, before merging: a text's ids are those of its words one after another, and
+    a word's those of its letters and of the full stop or comma that ends it.  So each
+    is encoded once and kept in a cache of bounded size.
     """
     from tokenizers import Tokenizer
 
     if path in _ENCODERS:
         return _ENCODERS[path]
     tokenizer = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
+    words, stems = Generations(CACHED), Generations(CACHED)
+
+    def little(ids: list[int]) -> bytes:
+        a = array("I", ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def stem(word: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in word:  # may hold a special token, whose case counts
+            return word, b""
+        word = word.lower()
+        return (word[:-1], word[-1:]) if word[-1:] in b".," and word[-2:-1].isalpha() else (word, b"")
+
+    def learn(new: list[bytes]) -> None:
+        parts = [stem(w) for w in new]
+        stems.turn()
+        unknown = stems.missing({x for part in parts for x in part if x and x not in stems})
+        got = tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in unknown], add_special_tokens=False)
+        stems.update((x, little(e.ids)) for x, e in zip(unknown, got, strict=True))
+        words.update((w, stems[a] + (stems[b] if b else b"")) for w, (a, b) in zip(new, parts, strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
+        words.turn()
         split = [x.split() for x in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > WORD_CACHE:
-            cache.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            got = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        learn(words.missing({w for ws in split for w in ws if w not in words}))
+        return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
     _ENCODERS[path] = encode
     return encode
