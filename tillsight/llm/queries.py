@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tillsight.llm import line_dedup, packing, sharding
+from tillsight.llm import decontaminate, line_dedup, packing, sharding, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_packing": packing.op7_packing,
 }
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE}
