@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tillsight.llm import decontaminate, line_dedup, packing, quality_rules, secrets, sharding, simhash
+from tillsight.llm import (decontaminate, line_dedup, packing, quality_classifier, quality_rules, secrets, sharding,
+                            simhash, toxicity)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,5 +13,7 @@ QUERIES = {
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_packing": packing.op7_packing,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE}
