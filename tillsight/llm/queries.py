@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tillsight.llm import (decontaminate, line_dedup, packing, quality_classifier, quality_rules, secrets, sharding,
-                            simhash, toxicity)
+from tillsight.llm import (decontaminate, line_dedup, packing, quality_classifier, quality_rules, repeats, secrets,
+                            sharding, simhash, toxicity)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
+    "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_packing": packing.op7_packing,
     "op8_secret_scans": secrets.op8_secret_scans,
