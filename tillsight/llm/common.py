@@ -28,15 +28,21 @@ def select_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: what a task holds as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df``; ``fn`` may return ``None``."""
+    """Apply ``fn`` to slices of the Arrow batches of ``df``; ``fn`` may return ``None``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in portions(batches, 1024):
+            out = fn(batch)
+            if out is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 

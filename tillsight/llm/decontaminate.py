@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import select_text
+from tillsight.llm.common import portions, select_text
 
 #: Token positions that a seed looks at; the others may hold any token.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
@@ -136,7 +136,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block = held.value
-            for batch in batches:
+            for batch in portions(batches):
                 rows = [(doc_id, block.item_ids[i], s, e, n)
                         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
                         for i, s, e, n in block.spans(text)]

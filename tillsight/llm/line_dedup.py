@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.llm.common import LOWER, SPACE, UPPER, salted_join
+from tillsight.llm.common import LOWER, SPACE, UPPER, portions, salted_join
 from tillsight.session import materialize
 
 def _key(line: Column) -> Column:
@@ -20,7 +20,7 @@ def _hashes(key: Column) -> list[Column]:
 
 
 def _drop(batches):
-    for batch in batches:
+    for batch in portions(batches):
         n_lines, n_dropped, kept = [], [], []
         for text, dropped in zip(batch["text"].to_pylist(), batch["dropped"].to_pylist(), strict=True):
             lines = text.split(b"\n")

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import dense_ordinals, select_text
+from tillsight.llm.common import dense_ordinals, portions, select_text
 from tillsight.llm.trees import CapacityTree
 from tillsight.session import materialize
 
 #: Entries of one generation of a cache (about 200 bytes each, two generations).
-CACHED = 400_000
+CACHED = 250_000
 
 _ENCODERS: dict[str, Callable] = {}  # by path: a reused Python worker keeps its caches
 
@@ -153,19 +153,17 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        piece = ids[4 * start:4 * (start + window)]
-                        rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece_ids"])
+        for part in portions(batches):
+            rows = []
+            for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for start in range(0, n, window):
+                    piece = ids[4 * start:4 * (start + window)]
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece_ids"])
 
     src = select_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     pieces = materialize(src.mapInArrow(cut, PIECE))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import map_rows, select_text
+from tillsight.llm.common import map_rows, portions, select_text
 from tillsight.session import materialize
 
 #: Word buckets, dimensions, entries of an index vector that are not 0, neighbours on each side.
@@ -80,7 +80,7 @@ class Words:
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts, about WORDS_AT_ONCE words at a time."""
     ids, texts, size = [], [], 0
-    for batch in batches:
+    for batch in portions(batches):
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             ids.append(doc_id)
             texts.append(text)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import salted_join, select_text
+from tillsight.llm.common import portions, salted_join, select_text
 from tillsight.session import materialize, shuffle_partitions
 
 #: Bytes of the hash that samples suffixes.
@@ -123,7 +123,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in portions(batches):
             keys, places, hashes, blocks = [], [], [], []
             for key, tag, packed in zip(*(batch[c].to_pylist() for c in ("key", "tag", "packed")), strict=True):
                 text = unpack(packed)
@@ -133,7 +133,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                     blocks.append(xxhash.xxh64_intdigest(text[first:last + length], at - first << 16 | last - first) - (1 << 63))
                     places.append(tag << 48 | first << 16 | at - first << 8 | last - first)
                     hashes.append(h)
-                if len(keys) >= 100_000:
+                if len(keys) >= 20_000:
                     yield _batch(keys, places, hashes, blocks)
                     keys, places, hashes, blocks = [], [], [], []
             if keys:
@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in portions(batches, 64):
             rows = []
             for key, packed, w in zip(*(batch[c].to_pylist() for c in ("key", "packed", "w")), strict=True):
                 text = unpack(packed)
@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                     place = x["place"]
                     first, left, more = place >> 16 & (1 << 32) - 1, place >> 8 & 255, place & 255
                     rows.append((x["h"], x["n"], key, place, text[first:first + left], text[first + left:first + more + length]))
-                if len(rows) >= 20_000:
+                if len(rows) >= 5000:
                     yield _cut(rows)
                     rows = []
             if rows:
@@ -228,18 +228,16 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
 
     # a hot sample is met by too many blocks for one task: its windows are dealt by their own hash
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.to_pydict()
-            for i in range(0, batch.num_rows, 500):
-                rows = []
-                for key, place, left, right in zip(*(c[k][i:i + 500] for k in ("key", "place", "l", "r")), strict=True):
-                    text, first = left + right, place >> 16 & (1 << 32) - 1
-                    for k in range((place & 255) + 1):
-                        d = xxhash.xxh3_128_intdigest(text[k:k + length])
-                        rows.append((key, place >> 48, first + k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32()] + [pa.int64()] * 3, strict=True)],
-                    names=["key", "tag", "start", "d1", "d2"])
+        for batch in portions(batches):
+            rows = []
+            for key, place, left, right in zip(*(batch[c].to_pylist() for c in ("key", "place", "l", "r")), strict=True):
+                text, first = left + right, place >> 16 & (1 << 32) - 1
+                for k in range((place & 255) + 1):
+                    d = xxhash.xxh3_128_intdigest(text[k:k + length])
+                    rows.append((key, place >> 48, first + k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32()] + [pa.int64()] * 3, strict=True)],
+                names=["key", "tag", "start", "d1", "d2"])
 
     starts = cuts.join(hot.select("h"), "h", "left_semi").mapInArrow(
         spread, "key long, tag int, start long, d1 long, d2 long")
@@ -279,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch["text"].to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["key"], batch["tag"], pa.array([len(x) for x in texts], pa.int64()),
@@ -290,7 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in portions(batches):
             removed, runs, kept = [], [], []
             for packed_text, spans_of in zip(batch["packed"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 text, at, parts, n, end = unpack(packed_text), 0, [], 0, -1

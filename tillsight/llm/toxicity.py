@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import select_text
+from tillsight.llm.common import portions, select_text
 from tillsight.llm.quality_classifier import PREDICT_AT, held_out
 
 #: Windows of so many words, a new one every STRIDE words: they overlap.
@@ -21,7 +21,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 16, 16, 12, 4096
 FIT_EACH, FIT_CHARS, WORD_ROWS = 1200, 2500, 4
 EPOCHS, BATCH, RATE, WORD_DROP = 3, 32, 0.01, 0.15
 
-WINDOWS_AT_ONCE, WORD_CACHE = 2048, 150_000
+WINDOWS_AT_ONCE, WORD_CACHE = 2048, 100_000
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -264,16 +264,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remain
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net else None
-        for batch in batches:
-            ids, texts, size, at = batch["doc_id"], batch["text"].to_pylist(), 0, 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size >= 600_000 or i == len(texts) - 1:
-                    part = texts[at:i + 1]
-                    got = scorer.scores(part) if scorer else np.full(len(part), prior or 0.0)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(got.astype("f8"))],
-                                                     names=["doc_id", "score"])
-                    at, size = i + 1, 0
+        for batch in portions(batches):
+            texts = batch["text"].to_pylist()
+            got = scorer.scores(texts) if scorer else np.full(len(texts), prior or 0.0)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got.astype("f8"))], names=["doc_id", "score"])
 
     return src.mapInArrow(score, "doc_id long, score double").select(
         "doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score",
