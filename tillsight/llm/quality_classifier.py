@@ -242,7 +242,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remaind
     network = Network(x, (fit["y"].to_numpy("f8") == 1).astype("f8"))
 
     def score(batch):
-        x = batch["v"].values.to_numpy().reshape(-1, 2 * DIM).astype("f8")
+        x = batch["v"].flatten().to_numpy().reshape(-1, 2 * DIM).astype("f8")
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(network.scores(x))], names=["doc_id", "score"])
 
     return map_rows(rows, score, "doc_id long, score double").select(
