@@ -57,14 +57,14 @@ def entropy_spans(s: bytes, window: int, least: float) -> list[tuple[int, int]]:
     most = (log2(window) - least) * window + 1e-9
     spans: list[tuple[int, int]] = []
     for i, ch in enumerate(s):
-        c = counts[ch]
-        counts[ch] = c + 1
-        weight += part[c + 1] - part[c]
         if i >= window:
             out = s[i - window]
             c = counts[out]
             counts[out] = c - 1
             weight += part[c - 1] - part[c]
+        c = counts[ch]
+        counts[ch] = c + 1
+        weight += part[c + 1] - part[c]
         if i >= window - 1 and weight <= most:
             a, b = i - window + 1, i + 1
             if spans and spans[-1][1] >= a:

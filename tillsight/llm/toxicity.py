@@ -19,7 +19,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 16, 16, 12, 4096
 #: Labelled rows that the network is fitted on at most, of each label, and the longest of
 #: them in characters; a word needs so many rows of that sample for a vector of its own.
 FIT_EACH, FIT_CHARS, WORD_ROWS = 1200, 2500, 4
-EPOCHS, BATCH, RATE, WORD_DROP = 3, 32, 0.01, 0.15
+STEPS, BATCH, RATE, WORD_DROP = 300, 32, 0.01, 0.15
 
 WINDOWS_AT_ONCE, WORD_CACHE = 2048, 100_000
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -167,7 +167,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 0) -> Network:
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
@@ -190,7 +190,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 0) -> Network:
 
             _, grad = net.gradient(list(codes), index, mask, slope, rng.random(len(codes)) < WORD_DROP)
             step += 1
-            rate = RATE * min(1, 2 * (1 - step * BATCH / (EPOCHS * len(order) + BATCH)) + 0.05)
+            rate = RATE * min(1, 2 * max(0, 1 - step / STEPS) + 0.05)
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
