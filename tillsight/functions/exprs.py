@@ -77,12 +77,28 @@ def is_numeric_type(dt: T.DataType) -> bool:
 
 
 def to_ntz(c: Column, dtype: T.DataType) -> Column:
-    """Parse anything date-like to TIMESTAMP_NTZ; unparseable values become null."""
+    """Parse anything date-like to TIMESTAMP_NTZ; unparseable values become null.
+
+    Instants and texts with a zone become UTC wall-clock time, whatever the session zone.
+    """
     if isinstance(dtype, T.TimestampNTZType):
         return c
-    if isinstance(dtype, (T.TimestampType, T.DateType)):
+    if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
-    return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
+    if isinstance(dtype, T.TimestampType):
+        return _utc(c)
+    text = F.trim(c.cast("string"))
+    instant = F.try_to_timestamp(text)
+    return F.when(text.rlike(_ZONED), _utc(instant)).otherwise(instant.cast("timestamp_ntz"))
+
+
+_ZONED = r"\d:\d\d(:\d\d(\.\d+)?)? ?(Z|[A-Z]{3,4}|[A-Z][A-Za-z_]+/[A-Za-z_/]+|[+-]\d{1,2}(:?\d{2})?)$"
+
+
+def _utc(instant: Column) -> Column:
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 def to_number(c: Column, dtype: T.DataType) -> Column:

@@ -166,7 +166,7 @@ def sanitize_features(df: DataFrame, features: list[str]) -> DataFrame:
     missing = [c for c in features if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required features: {', '.join(missing)}")
-    return df.withColumns({c: finite_or_zero(F.col(c)) for c in features})
+    return df.select(*[finite_or_zero(F.col(c)).alias(c) for c in features])
 
 
 def strict_clean(df: DataFrame, drop_null_customer: bool = True, dedupe: bool = True,

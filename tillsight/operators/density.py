@@ -22,7 +22,7 @@ from tillsight.session import materialize
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", cols=None,
-           grid_dims: int = 3, max_rounds: int = 10_000) -> DataFrame:
+           grid_dims: int = 3) -> DataFrame:
     """Returns ``(id_col, label)``; labels are 0..k-1 ordered by the smallest
     member id, noise is -1."""
     cols = cols or [c for c in df.columns if c.startswith("s_")]
@@ -43,7 +43,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", cols
                   .where(F.col("id") != F.col("nid")).select("id", "nid"))
     core_edges = materialize(core_edges)
     labels = materialize(core.withColumn("label", F.col("id")))
-    for _ in range(max_rounds):
+    while True:
         prop = (core_edges.join(labels.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid")
                 .groupBy("id").agg(F.min("nl").alias("m")))
         new = labels.join(prop, "id", "left").select(

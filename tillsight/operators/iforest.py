@@ -1,7 +1,8 @@
 """Isolation forest.
 
-Trees are grown on the driver from a bounded random sample (``n_trees`` x
-``sample_size`` rows at most, whatever the data size) and scored on the
+Each tree is grown in a task of its own on ``sample_size`` rows, picked in the
+order of a hash of the id (``n_trees`` x ``sample_size`` rows at most, whatever
+the data size), so trees do not depend on partitioning.  Rows are scored on the
 executors with ``mapInPandas`` (vectorised NumPy tree walks, trees shipped
 once as a small broadcast).  Score = 2^(-E[h(x)] / c(sample_size)); the
 anomaly flag marks the ``contamination`` share with the highest scores (an
@@ -11,6 +12,7 @@ exact quantile of the scores).
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -75,16 +77,22 @@ def isolation_forest(df: DataFrame, contamination: float | str = "auto", n_trees
     cols = cols or [c for c in df.columns if c.startswith("s_")]
     n = df.count()
     psi = min(sample_size, n)
-    # bounded sample: at most n_trees * psi rows reach the driver
-    frac = min(1.0, (n_trees * psi * 1.2) / max(n, 1))
-    sample = df.select(*cols).sample(fraction=frac, seed=seed).limit(n_trees * psi).toPandas().to_numpy(float)
-    rng = np.random.default_rng(seed)
+    # rows for all trees in the order of a hash, so no partition is favoured; a table smaller
+    # than that serves several trees with each row.  Every tree is grown in a task of its own.
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    trees = []
-    for _ in range(n_trees):
-        idx = rng.choice(len(sample), size=min(psi, len(sample)), replace=False) if len(sample) > psi \
-            else np.arange(len(sample))
-        trees.append(_grow(sample[idx], rng, max_depth))
+    copies = min(n_trees, max(1, -(-n_trees * psi // max(n, 1))))
+    picked = (df.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
+              .orderBy("_h", *cols).limit(n_trees * psi)
+              .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+              .withColumn("_tree", F.pmod(F.xxhash64("_h") + F.col("_copy"), F.lit(n_trees))))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["_tree"].iloc[0])
+        x = pdf.sort_values(["_h", *cols])[cols].to_numpy(float)
+        return pd.DataFrame({"tree": [tree], "model": [pickle.dumps(_grow(x, np.random.default_rng([seed, tree]), max_depth))]})
+
+    rows = picked.groupBy("_tree").applyInPandas(grow, "tree long, model binary").collect()
+    trees = [pickle.loads(bytes(r["model"])) for r in sorted(rows, key=lambda r: r["tree"])]
     norm = _c(psi)
     b = df.sparkSession.sparkContext.broadcast(trees)
 

@@ -12,8 +12,6 @@ from tillsight.functions.exprs import combine_rows
 from tillsight.functions.exprs import month_start
 from tillsight.plans.ranking import exact_quantiles
 
-MAX_LIMIT = 1000
-
 
 # ------------------------------------------------------------------ counts & KPIs
 def value_counts(df: DataFrame, col: str, name: str = "customers") -> DataFrame:
@@ -184,13 +182,14 @@ def year_totals(tx: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ lookups & filters
 def customers_filtered(customers: DataFrame, persona: str | None = None, cluster=None,
-                       limit: int = 100) -> DataFrame:
+                       limit: int | None = None) -> DataFrame:
     out = customers
     if persona:
         out = out.where(F.col("persona") == persona)
     if cluster is not None and "cluster" in customers.columns:
         out = out.where(F.col("cluster") == int(cluster))
-    return out.orderBy("customer_id").limit(min(int(limit), MAX_LIMIT))
+    """All matching customers; the first ``limit`` by id only where it is given."""
+    return out if limit is None else out.orderBy("customer_id").limit(int(limit))
 
 
 def customer_by_id(customers: DataFrame, customer_id: str) -> DataFrame:

@@ -224,7 +224,7 @@ def fit_churn_models(customers: DataFrame, seed: int = 42, boosted: bool = True)
     labelled, definition = churn_target(customers)
     if labelled.select("label").distinct().count() < 2:
         raise ValueError("Churn target must contain both classes")
-    data = materialize(assemble(labelled, CHURN_FEATURES).select("customer_id", "label", "features").coalesce(1))
+    data = materialize(assemble(labelled, CHURN_FEATURES).select("customer_id", "label", "features"))
     train, test = stratified_split(data, "label")
     train = materialize(balanced_weights(train, "label"))
     models, rows, cms, imps = {}, [], {}, []
@@ -237,6 +237,7 @@ def fit_churn_models(customers: DataFrame, seed: int = 42, boosted: bool = True)
         cms[name] = met["confusion_matrix"]
         models[name] = m
         imps += _importances(name, m, CHURN_FEATURES)
+    rows.sort(key=lambda r: (-r[5], -r[4]) if r[5] == r[5] else (1.0, -r[4]))
     metrics = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, "
                                           "f1 double, roc_auc double")
     importance = spark.createDataFrame(imps, "model string, feature string, importance double")

@@ -182,7 +182,7 @@ def q_country_performance(spark, sf_dir):
 
 
 def q_market_report(spark, sf_dir):
-    return _out(_rep.market_report(_rep.country_performance(transactions(spark, sf_dir), 15)))
+    return _out(_rep.market_report(_rep.country_performance(transactions(spark, sf_dir), None)))
 
 
 def q_top_countries_by_lines(spark, sf_dir):
@@ -543,7 +543,7 @@ def q_churn_roc(spark, sf_dir):
 
 
 def q_churn_explanations(spark, sf_dir):
-    return _sup.linear_explanations(_churn(spark, sf_dir), customers(spark, sf_dir), top=3)
+    return _sup.linear_explanations(_churn(spark, sf_dir), customers(spark, sf_dir), top=7)
 
 
 def q_tree_facts(spark, sf_dir):

@@ -390,7 +390,7 @@ SELECT customer_tier, {_r('q1')}, {_r('median')}, {_r('q3')}, {_r('lower_whisker
          FROM tx WHERE revenue > 0 GROUP BY 1 ORDER BY revenue DESC, product LIMIT 15)
 SELECT product, {_r('revenue')}, units FROM tp""",
     "country_performance": "WITH " + _COUNTRY + f" SELECT country, {_r('revenue')}, orders FROM cp",
-    "market_report": "WITH " + _COUNTRY + f"""
+    "market_report": "WITH " + _COUNTRY.replace(" LIMIT 15", "") + f"""
 SELECT country, {_rx('round(revenue, 2)')} AS revenue, orders,
        {_rx('round(revenue / sum(revenue) OVER () * 100, 1)')} AS revenue_share FROM cp""",
     "top_countries_by_lines": "WITH " + TX + """

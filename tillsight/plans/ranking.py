@@ -1,12 +1,12 @@
 """Global order statistics without a single-partition window.
 
 A window with ``orderBy`` but no ``partitionBy`` moves every row into one
-task.  Here the rows are range-partitioned on the ordering key instead, each
-partition computes a running sum locally (Arrow batches, in order), and the
-per-partition totals -- one row per partition and group, a size bounded by
-the partition count -- are broadcast back as offsets.  The range exchange is
-reused by both branches of the plan, so the offsets and the local sums see
-the same partition contents.
+task.  Here the rows are range-partitioned on the ordering key instead, and
+each partition computes a running sum locally (Arrow batches, in order).  The
+result, with the partition's number as a column, is written to the shared
+folder once; the totals per partition and group are summed from those rows and
+joined back as offsets.  Both sides read the same rows, so they can't disagree
+about which partition a row is in, however the range bounds were sampled.
 
 Used for: the quintile ranks (``rank(method="first")``), exact linear
 quantiles (``quantile_cont``), and any global running total.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.session import shuffle_partitions
+from tillsight.session import materialize, shuffle_partitions
 
 _PID = "__pid"
 _LOCAL = "__lcum"
@@ -72,40 +72,14 @@ def _stack_long(df: DataFrame, columns: dict, keep: Sequence[str] = ()) -> DataF
             .select(*keep, F.col("__kv.__g").alias("__g"), F.col("__kv.__v").alias("__v")))
 
 
-SMALL_LIMIT = 2_000_000
-
-
-def _is_small(df: DataFrame, small_limit: int | None, factor: int = 1) -> bool:
-    """True when ``df`` provably fits one task: its row count (one count job)
-    times ``factor`` is within ``small_limit``."""
-    limit = SMALL_LIMIT if small_limit is None else small_limit
-    return limit > 0 and df.count() * factor <= limit
-
-
-def _window_cumsum(df, order_cols, group_cols, weight_col, out_col, total_col):
-    """The same running sum with plain windows: only for frames proven small."""
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    wsum = F.col(weight_col) if weight_col else F.lit(1).cast("long")
-    out = df.withColumn(out_col, F.sum(wsum).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if total_col:
-        out = out.withColumn(total_col, F.sum(wsum).over(Window.partitionBy(*group_cols)))
-    return out
-
-
 def global_cumsum(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                   weight_col: str | None = None, out_col: str = "cum", total_col: str | None = "total",
-                  num_partitions: int | None = None, small_limit: int | None = -1) -> DataFrame:
+                  num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weight_col`` (or 1 per row) along ``order_cols``,
     restarting per ``group_cols``.  The ordering must be total (add a key as the
     last order column) for the result to be deterministic.
-
-    ``small_limit``: when the frame has at most this many rows (checked with a
-    count), a plain window computes the same thing in one task; ``-1`` (the
-    default here) always uses the range-partitioned plan.
     """
     spark = df.sparkSession
-    if small_limit not in (-1, 0) and _is_small(df, small_limit):
-        return _window_cumsum(df, order_cols, group_cols, weight_col, out_col, total_col)
     n = num_partitions or shuffle_partitions(spark)
     group_cols = list(group_cols)
     keys = group_cols + list(order_cols)
@@ -118,14 +92,10 @@ def global_cumsum(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence
         T.StructField(_PID, T.IntegerType(), False),
         T.StructField(_LOCAL, T.DoubleType() if wtype == "double" else T.LongType(), False),
     ])
-    local = ranged.mapInPandas(_running_sum_fn(group_cols, weight_col, wtype), out_schema)
+    local = materialize(ranged.mapInPandas(_running_sum_fn(group_cols, weight_col, wtype), out_schema))
 
-    # per-partition totals straight from the range-partitioned rows (JVM side);
-    # the exchange has an explicit partition count, so AQE does not coalesce it
-    # and partition ids agree with the ones seen inside mapInPandas
     wsum = F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))
-    part_totals = (ranged.withColumn(_PID, F.spark_partition_id())
-                   .groupBy(_PID, *group_cols).agg(wsum.alias("__ptot")))
+    part_totals = local.groupBy(_PID, *group_cols).agg(wsum.alias("__ptot"))
     before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)
     offsets = part_totals.select(
@@ -133,8 +103,12 @@ def global_cumsum(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence
         F.coalesce(F.sum("__ptot").over(before), F.lit(0)).alias("__offset"),
         F.sum("__ptot").over(whole).alias("__gtot"),
     )
-    # offsets has at most (partitions x groups) rows: a bounded broadcast
-    joined = local.join(F.broadcast(offsets), [_PID, *group_cols], "inner")
+    # one row per partition and group: the join is planned by measured size
+    off = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in [_PID, *group_cols]], "__offset", "__gtot")
+    same = F.col(_PID) == F.col(f"__o_{_PID}")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"__o_{c}"))
+    joined = local.join(off, same, "left")
     cols = [F.col(c) for c in df.columns] + [(F.col("__offset") + F.col(_LOCAL)).alias(out_col)]
     if total_col:
         cols.append(F.col("__gtot").alias(total_col))
@@ -143,7 +117,7 @@ def global_cumsum(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence
 
 def global_rank(df: DataFrame, order_cols: Sequence, tie_cols: Sequence[str],
                 rank_col: str = "rank", n_col: str | None = "n",
-                num_partitions: int | None = None, small_limit: int | None = None) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """1-based ``row_number`` over the whole frame ordered by ``order_cols`` then
     ``tie_cols`` (pandas ``rank(method="first")`` when ``tie_cols`` is the row
     order).  ``order_cols`` may be column names or (name, ascending) pairs.
@@ -159,12 +133,12 @@ def global_rank(df: DataFrame, order_cols: Sequence, tie_cols: Sequence[str],
             tmp_cols.append(tmp)
     base = df.select("*", *sel) if sel else df
     ranked = global_cumsum(base, tmp_cols + list(tie_cols), out_col=rank_col, total_col=n_col,
-                           num_partitions=num_partitions, small_limit=small_limit)
+                           num_partitions=num_partitions)
     return ranked.drop(*[c for c in tmp_cols if c.startswith("__neg")])
 
 
 def exact_quantiles(df: DataFrame, specs: dict, by: Sequence[str] = (),
-                    num_partitions: int | None = None, small_limit: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas default / ``quantile_cont``), one row
     per ``by`` group (one row overall without ``by``).
 
@@ -180,11 +154,8 @@ def exact_quantiles(df: DataFrame, specs: dict, by: Sequence[str] = (),
     long = _stack_long(df, {c: c for c in columns}, keep=by)
     long = long.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     hist = long.groupBy(*by, "__g", "__v").agg(F.count(F.lit(1)).alias("__w"))
-    if _is_small(df, small_limit, factor=len(columns)):
-        cum = _window_cumsum(hist, ["__v"], by + ["__g"], "__w", "__c", "__N")
-    else:
-        cum = global_cumsum(hist, ["__v"], group_cols=by + ["__g"], weight_col="__w", out_col="__c",
-                            total_col="__N", num_partitions=num_partitions)
+    cum = global_cumsum(hist, ["__v"], group_cols=by + ["__g"], weight_col="__w", out_col="__c",
+                        total_col="__N", num_partitions=num_partitions)
     start = F.col("__c") - F.col("__w")
 
     def at(pos):
@@ -209,7 +180,7 @@ def exact_quantiles(df: DataFrame, specs: dict, by: Sequence[str] = (),
     return agg.select(*outs)
 
 
-def ranks_by(df: DataFrame, key: str, columns: dict, small_limit: int | None = None) -> DataFrame:
+def ranks_by(df: DataFrame, key: str, columns: dict) -> DataFrame:
     """First-ranks of several columns in one range shuffle.
 
     ``columns`` maps an output name to a value column.  Returns ``key`` plus,
@@ -219,10 +190,7 @@ def ranks_by(df: DataFrame, key: str, columns: dict, small_limit: int | None = N
     with one aggregation by ``key``.
     """
     long = _stack_long(df, columns, keep=[key])
-    if _is_small(df, small_limit, factor=len(columns)):
-        ranked = _window_cumsum(long, ["__v", key], ["__g"], None, "__r", "__n")
-    else:
-        ranked = global_cumsum(long, ["__v", key], group_cols=["__g"], out_col="__r", total_col="__n")
+    ranked = global_cumsum(long, ["__v", key], group_cols=["__g"], out_col="__r", total_col="__n")
     aggs = []
     for name in columns:
         aggs.append(F.max(F.when(F.col("__g") == name, F.col("__r"))).alias(name))
