@@ -313,7 +313,7 @@ def test_secrets():
     assert [text[a:b] for k, a, b in found if k == "hex"] == ["deadbeefdeadbeefdeadbeef0"]
     key = "q9Zx7Lm2Vw4Rt8Yp1Kd6"
     assert [k for k, *_ in secrets.find_secrets(f"is {key} here".encode())] == ["entropy"]
-    for calm in (f"https://a.b/{key}", "internationalization_of_the_longest_words", "a" * 40, "123e4567-e89b-12d3-a456-426614174000"):
+    for calm in (f"https://a.b/{key}", "internationalization_of_the_longest_words", "z" * 40, "123e4567-e89b-12d3-a456-426614174000"):
         assert not secrets.find_secrets(calm.encode())
 
 
