@@ -122,3 +122,38 @@ def test_f15_bad_number_raises(spark):
     df = spark.createDataFrame([("not-a-number",)], "amount string")
     with pytest.raises(Exception):
         cleaning.strict_numeric(df, ["amount"]).collect()
+
+
+def test_mapping_claims(spark):
+    df = spark.createDataFrame([("1", "2", "C1", "2024-01-01", 2, 10.0)],
+                               "order_id string, invoice string, client string, `Date` string, qty int, amount double")
+    mapped, m, missing = mapping.auto_map_transaction_schema(df, {"client": "customer_id"})
+    assert m["client"] == "customer_id" and m["order_id"] == "invoice_id" and m["Date"] == "invoice_date"
+    assert "invoice" in mapped.columns  # the first alias holds, the second keeps its name
+    assert m["qty"] == "quantity" and m.get("amount") == "unit_price" and not missing
+
+
+def test_keyed_forecast_carries_each_series_forward(spark):
+    months = [datetime.datetime(2022 + i // 12, i % 12 + 1, 3) for i in range(20)]
+    rows = [("long", d, 100.0 + 10 * i) for i, d in enumerate(months)] + [("short", d, 50.0) for d in months[-3:]]
+    tx = spark.createDataFrame(rows, "country string, invoice_date timestamp_ntz, revenue double")
+    out, _ = series.forecast_monthly_sales(tx, 3, keys=["country"])
+    got = {(r["country"], r["month"]): (r["forecast_revenue"], r["method"]) for r in out.collect()}
+    want = [datetime.date(2023, 9, 1), datetime.date(2023, 10, 1), datetime.date(2023, 11, 1)]
+    assert sorted(got) == [(k, d) for k in ("long", "short") for d in want]
+    assert all(got["short", d] == (50.0, "Historical monthly average") for d in want)
+    assert all(got["long", d][1] == "Random Forest with lags" and 200 < got["long", d][0] < 300 for d in want)
+
+
+def test_roll_forward_appends_its_own_predictions(spark):
+    class Next:  # the value one and three months back, added
+        def transform(self, df):
+            from pyspark.ml.functions import vector_to_array
+            v = vector_to_array("features")
+            return df.withColumn("prediction", v[0] + v[1])
+
+    monthly = spark.createDataFrame([(datetime.date(2024, i + 1, 1), float(i)) for i in range(6)], "month date, revenue double")
+    ends = series.series_ends(monthly, [], "month", "revenue", 3)
+    out = series.roll_forward(ends, Next(), series._simple_step, series.SIMPLE_FEATURES, 3, 4).first()["_path"]
+    assert [p["prediction"] for p in out] == [5 + 3, 8 + 4, 12 + 5, 17 + 8]
+    assert [p["month"].month for p in out] == [7, 8, 9, 10]

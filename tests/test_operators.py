@@ -188,7 +188,7 @@ def test_co_purchase_hot_basket_split_is_exact(spark):
     rows = [("big", "A", D(2024, 1, 1), f"P{i}", "x", 1, 1.0, "UK") for i in range(12)]
     rows += [("small", "B", D(2024, 1, 2), f"P{i}", "x", 1, 1.0, "UK") for i in (0, 1, 20)]
     tx = _tx(spark, rows)
-    plain = {(r[0], r[1]): r[2] for r in recommend.co_purchase_counts(tx, hot_basket=10**9).collect()}
-    split = {(r[0], r[1]): r[2] for r in recommend.co_purchase_counts(tx, hot_basket=5, splits=4).collect()}
+    plain = {(r[0], r[1]): r[2] for r in recommend.co_purchase_counts(tx, block=10**9).collect()}
+    split = {(r[0], r[1]): r[2] for r in recommend.co_purchase_counts(tx, block=3).collect()}
     assert plain == split
     assert plain[("P0", "P1")] == 2 and len(plain) == 12 * 11 + 2 * 2

@@ -385,6 +385,10 @@ def q_forecast_importance(spark, sf_dir):
     return _ser.forecast_monthly_sales(transactions(spark, sf_dir), 3)[1]
 
 
+def q_country_forecast(spark, sf_dir):
+    return _ser.forecast_monthly_sales(transactions(spark, sf_dir), 3, keys=["country"])[0]
+
+
 def _comparison(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "forecast_cmp")
     if key not in _HUBS:
@@ -414,6 +418,7 @@ QUERIES.update({
     "naive_baseline": q_naive_baseline,
     "sales_forecast": q_sales_forecast,
     "forecast_importance": q_forecast_importance,
+    "country_forecast": q_country_forecast,
     "forecast_comparison": q_forecast_comparison,
     "forecast_model_ranking": q_forecast_model_ranking,
     "forecast_interval": q_forecast_interval,
