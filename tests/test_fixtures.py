@@ -157,3 +157,20 @@ def test_roll_forward_appends_its_own_predictions(spark):
     out = series.roll_forward(ends, Next(), series._simple_step, series.SIMPLE_FEATURES, 3, 4).first()["_path"]
     assert [p["prediction"] for p in out] == [5 + 3, 8 + 4, 12 + 5, 17 + 8]
     assert [p["month"].month for p in out] == [7, 8, 9, 10]
+
+
+def test_interval_of_a_straight_line(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    rows = [(datetime.date(2022 + i // 12, i % 12 + 1, 1), 100.0 + 10 * i) for i in range(24)]
+    hist = series.forecast_features(spark.createDataFrame(rows, "month date, revenue double"))
+    feats = list(series.FORECAST_FEATURES)
+    model = LinearRegression(labelCol="revenue").fit(series._assemble(hist.dropna(subset=feats), feats))
+    metrics = spark.createDataFrame([("Linear Regression", 0.0)], "model string, rmse double")
+    out = series.forecast_with_uncertainty(None, 3, comparison=(
+        metrics, {"models": {"Linear Regression": model}, "features": feats}, hist)).orderBy("month").collect()
+    assert [r["month"] for r in out] == [datetime.date(2024, m, 1) for m in (1, 2, 3)]
+    assert all(abs(r["forecast_revenue"] - (340 + 10 * i)) < 1 for i, r in enumerate(out))
+    assert all(r["lower_bound"] <= r["forecast_revenue"] <= r["upper_bound"] for r in out)
+    flat = series.forecast_with_uncertainty(None, 2, comparison=(None, {}, hist)).collect()
+    assert [(r["forecast_revenue"], r["lower_bound"], r["upper_bound"]) for r in flat] == [(215.0, 172.0, 258.0)] * 2

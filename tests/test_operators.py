@@ -192,3 +192,9 @@ def test_co_purchase_hot_basket_split_is_exact(spark):
     split = {(r[0], r[1]): r[2] for r in recommend.co_purchase_counts(tx, block=3).collect()}
     assert plain == split
     assert plain[("P0", "P1")] == 2 and len(plain) == 12 * 11 + 2 * 2
+
+
+def test_standardized_uses_population_deviation(spark):
+    from tillsight.operators.cluster import standardized
+    out = standardized(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).collect()
+    assert [(r["s_a"], r["s_b"]) for r in out] == [(-1.0, 0.0), (1.0, 0.0)]

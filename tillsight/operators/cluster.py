@@ -187,3 +187,10 @@ def cluster_customers(customers: DataFrame, min_k: int = 2, max_k: int = 8, seed
     flags = isolation_forest(named, contamination=min(.10, max(.02, 8 / n)), seed=seed, id_col="customer_id")
     out = named.join(flags, "customer_id").drop("features", *[c for c in named.columns if c.startswith("s_")])
     return out, evaluation_frame(spark, rows), model
+
+
+def standardized(df: DataFrame, cols: list[str], prefix: str = "s_") -> DataFrame:
+    """``df`` with (value - mean) / population deviation of ``cols``; a constant column gives 0."""
+    stats = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("dev")).alias(c) for c in cols]).first()
+    return df.withColumns({f"{prefix}{c}": (F.col(c) - F.lit(stats[c]["mean"])) / F.lit(stats[c]["dev"] or 1.0)
+                           for c in cols})

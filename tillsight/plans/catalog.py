@@ -481,16 +481,12 @@ def q_elbow(spark, sf_dir):
 def q_advanced_segmentation(spark, sf_dir):
     """Standard-scaled recency / frequency / monetary: DBSCAN (eps .9),
     bisecting clusters and isolation-forest outliers per customer."""
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
     import math as _m
     c = customers(spark, sf_dir)
     cols = ["recency_days", "frequency", "monetary_value"]
-    v = VectorAssembler(inputCols=cols, outputCol="raw").transform(
-        c.select("customer_id", *[F.col(x).cast("double").alias(x) for x in cols]))
-    z = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v)
-    from pyspark.ml.functions import vector_to_array
-    z = z.withColumn("_a", vector_to_array("features")).select(
-        "customer_id", "features", *[F.col("_a")[i].alias(f"s_{x}") for i, x in enumerate(cols)])
+    z = VectorAssembler(inputCols=[f"s_{x}" for x in cols], outputCol="features").transform(
+        _clu.standardized(c, cols).select("customer_id", *[f"s_{x}" for x in cols]))
     z = materialize(z)
     n = z.count()
     db = _dens.dbscan(z, eps=0.9, min_samples=max(4, min(8, n // 100 or 4)), id_col="customer_id")
