@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from array import array
@@ -17,7 +18,7 @@ from tillsight.llm.trees import CapacityTree
 from tillsight.session import materialize
 
 #: Entries of one generation of a cache (about 200 bytes each, two generations).
-CACHED = 250_000
+CACHED = 400_000
 
 _ENCODERS: dict[str, Callable] = {}  # by path: a reused Python worker keeps its caches
 
@@ -55,6 +56,7 @@ def word_tokenizer(path: str) -> Callable[[list[bytes]], list[bytes]]:
     a word's those of its letters and of the full stop or comma that ends it.  So each
     is encoded once and kept in a cache of bounded size.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     if path in _ENCODERS:
