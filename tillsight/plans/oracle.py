@@ -3,7 +3,7 @@
 Written from the operator semantics, not from the Spark plans: e.g. the
 average order value here is the mean of per-invoice sums, the return rate a
 separate aggregate joined back, ranks are plain window functions.
-Doubles are rounded to 4 places like the Spark outputs.
+Doubles are rounded to 6 places like the Spark outputs.
 """
 
 from __future__ import annotations
