@@ -317,6 +317,29 @@ def test_secrets():
         assert not secrets.find_secrets(calm.encode())
 
 
+@pytest.mark.parametrize("name", ["", "KEY=", "v=", "id_", "AUTH=", "license/"])
+def test_secrets_glued_to_a_name(name):
+    rng = np.random.default_rng(8)
+    hits = 0
+    for _ in range(200):
+        key = "".join(rng.choice(list("0123456789ABCDEF"), 40))
+        text = f"is {name}{key} here"
+        at = text.index(key)
+        hits += any(k == "entropy" and a < at + 40 and at < b for k, a, b in secrets.find_secrets(text.encode()))
+    assert hits >= 195
+
+
+def test_secret_windows_of_all_classes_are_joined():
+    upper, mixed = "9F3A0C7E9F3A5B1D5B1D0C7E", "q9Zx7Lm2Vw4Rt8Yp1Kd6"
+    for text in (f"k={upper}/x", f"{mixed}/{upper}", f"id_{upper}--{mixed}", f"a-{mixed}_{mixed}"):
+        spans = [(a, b) for k, a, b in secrets.find_secrets(text.encode()) if k == "entropy"]
+        assert spans and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        for part in (upper, mixed):
+            if part in text:
+                at = text.index(part)
+                assert any(a <= at and at + len(part) <= b for a, b in spans)
+
+
 def test_entropy_counts_are_those_of_each_window():
     rng = np.random.default_rng(6)
     for _ in range(30):

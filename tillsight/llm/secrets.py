@@ -22,13 +22,14 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: Candidates: runs of so many characters that may stand in a key.
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-#: Character classes, the narrowest first: name, characters, window, least entropy in bits.
-#: A window of w characters has log2(w) bits at most, and log2 of the class's size.
+#: Character classes, the narrowest first: name, runs as long as the window, window, least
+#: entropy in bits.  A window of w characters has log2(w) bits at most, and log2 of the
+#: class's size.
 CLASSES = (
-    ("digits", re.compile(rb"[0-9]+"), 24, 3.1),
-    ("hex", re.compile(rb"[0-9A-Fa-f]+"), 24, 3.2),
-    ("alphanumeric", re.compile(rb"[0-9A-Za-z]+"), 20, 3.8),
-    ("base64", re.compile(rb"[0-9A-Za-z+/_=-]+"), 20, 3.9),
+    ("digits", re.compile(rb"[0-9]{24,}"), 24, 3.1),
+    ("hex", re.compile(rb"[0-9A-Fa-f]{24,}"), 24, 3.2),
+    ("alphanumeric", re.compile(rb"[0-9A-Za-z]{20,}"), 20, 3.8),
+    ("base64", re.compile(rb"[0-9A-Za-z+/_=-]{20,}"), 20, 3.9),
 )
 #: Spans that lie in one of these are suppressed: web addresses, UUIDs, file paths of
 #: words, data:... prefixes, words joined by dashes or underscores, one repeated
@@ -79,6 +80,29 @@ def _allowed(text: bytes, a: int, b: int) -> bool:
     return any(m.start() <= a and b <= m.end() for p in ALLOWED for m in p.finditer(text, low, high))
 
 
+def _candidate_spans(text: bytes, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Spans of high entropy of the candidate ``text[start:end]``.
+
+    Every class slides its own window over each of its maximal runs, so a key glued to a
+    name is seen with the threshold of its own characters.  Spans that touch a base span
+    or are allowed leave; what is left of all classes is joined where it overlaps.
+    """
+    spans = []
+    for _, runs, window, least in CLASSES:
+        for run in runs.finditer(text, start, end):
+            at = run.start()
+            spans += [(at + a, at + b) for a, b in entropy_spans(run[0], window, least)]
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans)):
+        if any(x < b and a < y for _, x, y in base) or _allowed(text, a, b):
+            continue
+        if joined and joined[-1][1] > a:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    return joined
+
+
 def find_secrets(text: bytes) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, by start, then kind as in KINDS."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text.lower()) if len(m[1]) >= MIN_VALUE]
@@ -87,12 +111,7 @@ def find_secrets(text: bytes) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     base = list(found)
     for m in CANDIDATE.finditer(text):
-        s, at = m[0], m.start()
-        name, _, window, least = next(c for c in CLASSES if c[1].fullmatch(s))
-        for a, b in entropy_spans(s, window, least):
-            if any(x < at + b and at + a < y for _, x, y in base) or _allowed(text, at + a, at + b):
-                continue
-            found.append(("entropy", at + a, at + b))
+        found += [("entropy", a, b) for a, b in _candidate_spans(text, *m.span(), base)]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     if found and not text.isascii():
         points = np.concatenate(([0], np.cumsum((np.frombuffer(text, "u1") & 0xC0) != 0x80)))
@@ -105,9 +124,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     code points, end exclusive, by start and then kind.
 
     The base kinds assign, access and hex are leftmost, non-overlapping matches of fixed
-    patterns.  Kind entropy adds the stretches of key-like strings whose sliding windows
-    have a high entropy for the string's character class, unless they touch a base span
-    or lie within an allowed form (addresses, UUIDs, paths, plain words, samples).
+    patterns.  Kind entropy adds the stretches of key-like strings where the sliding windows
+    of any character class, over that class's runs, have a high entropy, unless they touch
+    a base span or lie within an allowed form (addresses, UUIDs, paths, plain words, samples).
 
     Each text is scanned whole, in its own row; nothing is shuffled.  Null and empty
     texts have no spans.  Null ids, repeated rows and an empty table pass through.
