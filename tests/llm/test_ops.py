@@ -390,6 +390,40 @@ def test_windows_cover_all_words():
         assert w[0][0] == 0 and w[-1][1] == n and all(b[0] < a[1] for a, b in zip(w, w[1:]))
 
 
+def test_toxicity_learns_from_long_documents(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    calm = [f"word{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        text = rng.choice(calm, int(rng.integers(500, 900))).tolist()
+        if i % 2:
+            text[300:304] = ["vile", "filth", "vile", "scum"]
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    learned, fit = [], toxicity.fit
+
+    def spy(texts, toxic, seed=0):
+        learned.append({(bytes(t).decode(), int(y)) for t, y in zip(texts, toxic, strict=True)})
+        return fit(texts, toxic, seed)
+
+    monkeypatch.setattr(toxicity, "fit", spy)
+    monkeypatch.setattr(toxicity, "STEPS", 20)
+    got = toxicity.toxicity_scores(docs, marks).collect()
+    known = {r["doc_id"] for r in got if not r["held_out"]}
+    assert learned == [{(t, i % 2) for i, t in rows if i in known}] and all(len(t) > 2500 for t, _ in learned[0])
+    assert len({r["score"] for r in got}) > 30  # of a network, not the share of label 1
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 10_000)
+    toxicity.toxicity_scores(docs, marks)
+    for y in (0, 1):
+        sizes = sorted(len(t) for t, k in learned[1] if k == y)
+        assert sum(sizes) >= 10_000 > sum(sizes[:-1]) and learned[1] < learned[0]
+
+
+def test_fit_without_words_ends():
+    assert toxicity.Scorer(toxicity.fit([b"", b" "], np.array([1, 0], "f4"))).scores([b"a"]).shape == (1,)
+
+
 @pytest.mark.parametrize("op", [quality_classifier.quality_scores, toxicity.toxicity_scores])
 def test_classifiers_take_odd_rows(docs, pairs, labels, empty, op):
     rows = op(docs, labels).collect()

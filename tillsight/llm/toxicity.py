@@ -16,9 +16,10 @@ from tillsight.llm.quality_classifier import PREDICT_AT, held_out
 #: Windows of so many words, a new one every STRIDE words: they overlap.
 WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 16, 16, 12, 4096
-#: Labelled rows that the network is fitted on at most, of each label, and the longest of
-#: them in characters; a word needs so many rows of that sample for a vector of its own.
-FIT_EACH, FIT_CHARS, WORD_ROWS = 1200, 2500, 4
+#: Labelled rows that the network is fitted on at most, of each label, and their bytes in
+#: all, from which on no further row is taken; a row is taken whole, however long.  A word
+#: needs so many rows of that sample for a vector of its own.
+FIT_EACH, FIT_BYTES, WORD_ROWS = 1200, 16_000_000, 4
 STEPS, BATCH, RATE, WORD_DROP = 300, 32, 0.01, 0.15
 
 WINDOWS_AT_ONCE, WORD_CACHE = 2048, 100_000
@@ -155,40 +156,56 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + WINDOW)) for a in starts]
 
 
+def padded(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word codes and mask of the windows ``flat[start:start + n]``, as wide as the longest."""
+    place = np.arange(max(1, int(n.max())))
+    mask = (place < n[:, None]).astype("f4")
+    index = np.zeros(mask.shape, "i8")
+    index[mask > 0] = flat[(start[:, None] + place)[mask > 0]]
+    return index, mask
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 0) -> Network:
     """Fit on whole documents: a document's logit is that of its most toxic window, so the
-    windows need no labels of their own."""
+    windows need no labels of their own.  A step first scores all windows of its documents,
+    some at a time, and then learns from the highest of each, which alone has a gradient."""
     rng = np.random.default_rng(seed)
-    words = [normal_words(x) for x in texts]
-    seen = Counter(w for x in words for w in set(x))
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, c in seen.items() if c >= WORD_ROWS))}
+    number: dict[bytes, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in normal_words(x)], "i4") for x in texts]
+    names = list(number)
+    seen = np.zeros(len(names), "i4")
+    for doc in docs:
+        seen[np.unique(doc)] += 1
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, c in zip(names, seen, strict=True) if c >= WORD_ROWS))}
     net = Network(vocabulary, seed)
     net.p["bias"][0] = -1
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    while step < STEPS:
+    while step < STEPS and names:
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
-            codes: dict[bytes, int] = {}
-            spans = [(i, a, b) for i, row in enumerate(rows) for a, b in windows(len(words[row]))]
-            index, mask = np.zeros((len(spans), WINDOW), "i8"), np.zeros((len(spans), WINDOW), "f4")
-            for k, (i, a, b) in enumerate(spans):
-                index[k, :b - a] = [codes.setdefault(w, len(codes)) for w in words[rows[i]][a:b]]
-                mask[k, :b - a] = 1
-            if not codes:
+            distinct, flat = np.unique(np.concatenate([docs[r] for r in rows]), return_inverse=True)
+            if not len(distinct):
                 continue
-            owner, y = np.array([i for i, _, _ in spans]), toxic[rows]
-
-            def slope(logits, owner=owner, y=y):
-                best = np.array([np.flatnonzero(owner == i)[np.argmax(logits[owner == i])] for i in range(len(y))])
-                z = logits[best]
-                d = np.zeros(len(logits), "f4")
-                d[best] = (sigmoid(z) - y) / len(y)
-                return float(np.mean(np.logaddexp(0, np.where(y == 1, -z, z)))), d
-
-            _, grad = net.gradient(list(codes), index, mask, slope, rng.random(len(codes)) < WORD_DROP)
+            words, drop = [names[c] for c in distinct], rng.random(len(distinct)) < WORD_DROP
+            starts = np.cumsum([0, *(len(docs[r]) for r in rows)])
+            spans = [(i, starts[i] + a, b - a) for i, row in enumerate(rows) for a, b in windows(len(docs[row]))]
+            owner, first, n = np.array(spans).T
+            table = net.gates(net.inputs(words, drop)[0])
+            logits = np.concatenate([net.forward(table[index], mask)[0] for index, mask in (
+                padded(flat, first[k:k + WINDOWS_AT_ONCE], n[k:k + WINDOWS_AT_ONCE])
+                for k in range(0, len(spans), WINDOWS_AT_ONCE))])
+            best = np.array([np.flatnonzero(owner == i)[np.argmax(logits[owner == i])] for i in range(len(rows))])
+            index, mask = padded(flat, first[best], n[best])
+            used, index = np.unique(index, return_inverse=True)
+            y = toxic[rows]
+
+            def slope(z, y=y):
+                return float(np.mean(np.logaddexp(0, np.where(y == 1, -z, z)))), ((sigmoid(z) - y) / len(y)).astype("f4")
+
+            _, grad = net.gradient([words[c] for c in used], index.reshape(mask.shape), mask, slope, drop[used])
             step += 1
             rate = RATE * min(1, 2 * max(0, 1 - step / STEPS) + 0.05)
             for k, g in grad.items():
@@ -227,12 +244,7 @@ class Scorer:
         spans, owner = np.array(spans), np.array(owner)
         best = np.full(len(texts), -np.inf)
         for k in range(0, len(spans), WINDOWS_AT_ONCE):
-            start, n = spans[k:k + WINDOWS_AT_ONCE].T
-            width = max(1, int(n.max()))
-            place = np.arange(width)
-            mask = (place < n[:, None]).astype("f4")
-            index = np.zeros(mask.shape, "i8")
-            index[mask > 0] = flat[(start[:, None] + place)[mask > 0]]
+            index, mask = padded(flat, *spans[k:k + WINDOWS_AT_ONCE].T)
             logits = self.net.forward(self.table[index], mask)[0]
             np.maximum.at(best, owner[k:k + WINDOWS_AT_ONCE], logits)
         return sigmoid(best)
@@ -243,8 +255,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remain
     """``(doc_id, held_out, score, predicted)``, one row per input row.
 
     The network is fitted on the driver on at most FIT_EACH labelled rows of each label
-    that are not held out, with at most FIT_CHARS characters, first in the order of a
-    hash.  Its size is fixed.  Scoring runs in tasks over whole texts: every overlapping
+    that are not held out, first in the order of a hash, whole whatever their length; a
+    label's rows end with the one that brings them to FIT_BYTES bytes.  Its size is fixed.  Scoring runs in tasks over whole texts: every overlapping
     window is scored, and a document's score is its highest.  Nothing is shuffled but the
     labelled rows.
 
@@ -255,9 +267,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remain
     src = select_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(
         F.col("y").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    known = src.where(F.length("text") <= FIT_CHARS).join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    parts = [known.where(F.col("y") == k).orderBy("h", "text").limit(FIT_EACH).select("text", "y").collect()
-             for k in (1, 0)]
+    order = F.struct(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    sizes = src.select("doc_id", order.alias("o"), F.length("text").alias("size")).join(marks, "doc_id")
+
+    def first_rows(label: int) -> list:
+        """The rows are chosen by hashes and sizes; only the texts of the chosen are moved."""
+        rows = sizes.where(F.col("y") == label).select("o", "size").orderBy("o").limit(FIT_EACH).collect()
+        total = np.cumsum([r["size"] for r in rows])
+        n = min(len(rows), int(np.searchsorted(total, FIT_BYTES)) + 1)
+        if not n:
+            return []
+        last = rows[n - 1]["o"]
+        chosen = src.withColumn("o", order).where(
+            F.col("o") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["t"]).alias("t")))
+        return chosen.join(marks.where(F.col("y") == label), "doc_id").orderBy("o").limit(n).select("text", "y").collect()
+
+    parts = [first_rows(k) for k in (1, 0)]
     sample = [r for part in parts for r in part]
     prior = marks.agg(F.avg("y")).first()[0] if not all(parts) else None
     net = fit([bytes(r["text"]) for r in sample], np.array([r["y"] for r in sample], "f4")) if all(parts) else None
