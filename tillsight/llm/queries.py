@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tillsight.llm import (decontaminate, line_dedup, packing, quality_classifier, quality_rules, repeats, secrets,
-                            sharding, simhash, toxicity)
+from tillsight.llm import (bpe, decontaminate, filter_audit, line_dedup, packing, quality_classifier, quality_rules, repeats,
+                            secrets, sharding, simhash, spelling, toxicity)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,5 +16,9 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_bpe": bpe.op13_bpe,
 }
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op11_spelling_variants": spelling.ORACLE,
+          "op12_filter_audit": filter_audit.ORACLE}
