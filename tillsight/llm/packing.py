@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import dense_ordinals, portions, select_text
+from tillsight.llm.common import dense_ordinals, select_text
 from tillsight.llm.trees import CapacityTree
+from tillsight.llm.words import Generations, byte_slices, gathered
 from tillsight.session import materialize
 
 #: Entries of one generation of a cache (about 200 bytes each, two generations).
@@ -23,33 +24,8 @@ CACHED = 400_000
 _ENCODERS: dict[str, Callable] = {}  # by path: a reused Python worker keeps its caches
 
 
-class Generations(dict):
-    """A bounded cache: when full it becomes the old generation, from which entries
-    still in use are taken over."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def turn(self) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def missing(self, keys) -> list:
-        """Those of ``keys`` that neither generation holds."""
-        new = []
-        for k in keys:
-            got = self.old.get(k)
-            if got is None:
-                new.append(k)
-            else:
-                self[k] = got
-        return new
-
-
 def word_tokenizer(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Texts to token ids, each 4 bytes little-endian, as ``encode(text)`` gives them.
+    """Words to token ids, each 4 bytes little-endian, as ``encode(word)`` gives them.
 
     For lower-casing tokenizers that split at white space, and at the end of a run of
     letters, before merging: a text's ids are those of its words one after another, and
@@ -84,11 +60,11 @@ def word_tokenizer(path: str) -> Callable[[list[bytes]], list[bytes]]:
         stems.update((x, little(e.ids)) for x, e in zip(unknown, got, strict=True))
         words.update((w, stems[a] + (stems[b] if b else b"")) for w, (a, b) in zip(new, parts, strict=True))
 
-    def encode(texts: list[bytes]) -> list[bytes]:
+    def encode(distinct: list[bytes]) -> list[bytes]:
         words.turn()
-        split = [x.split() for x in texts]
-        learn(words.missing({w for ws in split for w in ws if w not in words}))
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+        words[b""] = b""
+        learn(words.missing([w for w in distinct if w not in words]))
+        return list(map(words.__getitem__, distinct))
 
     _ENCODERS[path] = encode
     return encode
@@ -155,10 +131,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for part in portions(batches):
+        for part in byte_slices(batches, "text"):
             rows = []
-            for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
-                ids += end
+            data, ends = gathered(part["text"], encode)
+            at = ends.tolist()
+            for doc_id, i, j in zip(part["doc_id"].to_pylist(), at, at[1:], strict=False):
+                ids = bytes(data[i:j]) + end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start:4 * (start + window)]
