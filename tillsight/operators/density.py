@@ -1,62 +1,168 @@
-"""DBSCAN on Spark DataFrames.
-
-Neighbour search: points are put in grid cells of side ``eps`` on (at most)
-three of the dimensions; a point's neighbours lie in the 3^d surrounding
-cells (a distance in a subspace never exceeds the full one), so an equi-join
-on the cell key followed by the exact distance filter on all dimensions finds
-every pair within ``eps``.  Core points have at least ``min_samples``
-neighbours (self included).  Clusters are the connected components of the
-core-core graph, found by min-label propagation; each round is checkpointed to
-the shared checkpoint directory so lineage stays short.  A border point joins
-the smallest label among its core neighbours; the rest are noise (-1).
+"""DBSCAN on Spark DataFrames, without a neighbour list of the points.
+
+Points that lie at one place are counted once.  Places fall into cells of side
+eps / sqrt(d), so any two in a cell are neighbours:
+
+* a cell of at least ``min_samples`` points is dense; all its points are core, and its
+  places never meet their own cell or another dense one point by point;
+* a cell holds fewer than ``min_samples`` points otherwise.  Only these sparse places
+  count their neighbours in the cells around, in a join that splits hot cells;
+* the core places of one cell belong together, so clusters are components of a graph of
+  cells.  Two dense cells are joined if their nearest places are within eps.  That is
+  found by descent: boxes around the places are halved level by level; two boxes wholly
+  within eps settle their cells, boxes wholly beyond eps drop out, the rest go on.
+
+The comparison on every level is (difference squared, summed in column order) <= eps^2, and box bounds round
+the same way as the points within them, so the result is that of comparing all points.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.plans.graph import component_roots
+from tillsight.plans.ranking import global_rank
 from tillsight.session import materialize
 
+#: Dimensions whose surrounding cells are enumerated; the others are a condition of the join.
+KEYED_DIMS = 3
+#: Places of a cell that one join key holds.
+CELL_ROWS = 4096
 
-def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", cols=None,
-           grid_dims: int = 3) -> DataFrame:
-    """Returns ``(id_col, label)``; labels are 0..k-1 ordered by the smallest
-    member id, noise is -1."""
-    cols = cols or [c for c in df.columns if c.startswith("s_")]
-    g = cols[:grid_dims]
-    pts = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in cols])
-    pts = pts.withColumn("cell", F.array(*[F.floor(F.col(c) / F.lit(eps)).cast("long") for c in g]))
-    offsets = list(itertools.product((-1, 0, 1), repeat=len(g)))
-    probe = pts.select("id", *[F.col(c).alias(f"p_{c}") for c in cols],
-                       F.explode(F.array(*[F.array(*[F.col("cell")[i] + F.lit(o[i]) for i in range(len(g))])
-                                           for o in offsets])).alias("cell"))
-    build = pts.select(F.col("id").alias("nid"), *[F.col(c).alias(f"b_{c}") for c in cols], "cell")
-    d2 = sum(((F.col(f"p_{c}") - F.col(f"b_{c}")) ** 2 for c in cols), F.lit(0.0))
-    pairs = probe.join(build, "cell").where(d2 <= F.lit(eps * eps)).select("id", "nid")
-    pairs = materialize(pairs)
-    deg = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.where(F.col("deg") >= min_samples).select("id")
-    core_edges = (pairs.join(core, "id").join(core.withColumnRenamed("id", "nid"), "nid")
-                  .where(F.col("id") != F.col("nid")).select("id", "nid"))
-    core_edges = materialize(core_edges)
-    labels = materialize(core.withColumn("label", F.col("id")))
+
+def _far(lo_a: str, hi_a: str, lo_b: str, hi_b: str, d: int, least: bool) -> Column:
+    """Squared least or greatest distance of two boxes given as arrays of bounds."""
+    terms = []
+    for i in range(d):
+        one, two = F.col(lo_a)[i] - F.col(hi_b)[i], F.col(lo_b)[i] - F.col(hi_a)[i]
+        gap = F.greatest(one, two, F.lit(0.0)) if least else F.greatest(-one, -two)
+        terms.append(gap * gap)
+    return reduce(lambda x, y: x + y, terms)
+
+
+def _boxes(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Tight bounds of the places per key."""
+    return df.groupBy(*keys).agg(F.array(*[F.min(c) for c in cols]).alias("lo"),
+                                 F.array(*[F.max(c) for c in cols]).alias("hi"))
+
+
+def _around(boxes: DataFrame, d: int, reach: int, eps2: float) -> DataFrame:
+    """``(a, b, lo_a, hi_a, lo_b, hi_b)``: cells whose boxes come within eps, both ways, a <> b."""
+    keyed = min(d, KEYED_DIMS)
+    steps = list(itertools.product(range(-reach, reach + 1), repeat=keyed))
+    moved = F.explode(F.array(*[F.array(*[F.col("cell")[i] + F.lit(s[i]) for i in range(keyed)]) for s in steps]))
+    a = boxes.select(F.col("cell").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), moved.alias("k"))
+    b = boxes.select(F.col("cell").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"),
+                     F.slice("cell", 1, keyed).alias("k"))
+    near = _far("lo_a", "hi_a", "lo_b", "hi_b", d, True) <= F.lit(eps2)
+    return a.join(b, "k").where((F.col("a") != F.col("b")) & near).drop("k")
+
+
+def _touching(pairs: DataFrame, places: DataFrame, cols: list[str], side: float, eps2: float) -> DataFrame:
+    """``(a, b)``: those pairs of cells, given with their boxes, that hold two places within eps."""
+    d = len(cols)
+    open_ = materialize(pairs.select("a", "b", F.col("a").alias("ka"), F.col("b").alias("kb"), "lo_a", "hi_a", "lo_b", "hi_b"))
+    found, level, finer = None, 0, places.select("cell", F.col("cell").alias("key"), *cols)
     while True:
-        prop = (core_edges.join(labels.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid")
-                .groupBy("id").agg(F.min("nl").alias("m")))
-        new = labels.join(prop, "id", "left").select(
-            "id", F.least(F.col("label"), F.coalesce(F.col("m"), F.col("label"))).alias("label"))
-        new = materialize(new)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
-            break
-    border = (pairs.join(labels.withColumnRenamed("id", "nid"), "nid")
-              .join(core, "id", "left_anti").groupBy("id").agg(F.min("label").alias("label")))
-    all_labels = labels.unionByName(border)
-    # one row per cluster; the ordering window runs over cluster ids only
-    dense = all_labels.select("label").distinct().withColumn("cl", F.dense_rank().over(Window.orderBy("label")) - 1)
-    out = pts.select("id").join(all_labels, "id", "left").join(F.broadcast(dense), "label", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("cl"), F.lit(-1)).cast("int").alias("label"))
+        judged = open_.withColumn("all_in", _far("lo_a", "hi_a", "lo_b", "hi_b", d, False) <= F.lit(eps2))
+        settled = materialize(judged.where("all_in").select("a", "b").distinct())
+        found = settled if found is None else found.unionByName(settled)
+        left = materialize(open_.join(settled, ["a", "b"], "left_anti"))
+        if not left.limit(1).count():
+            return found
+        # halve every box that is still asked for; a single place is its own box for good
+        level += 1
+        child = F.array(*[F.floor(F.col(c) / F.lit(side / 2.0 ** level)).cast("double") for c in cols])
+        asked = left.select(F.col("ka").alias("key")).unionByName(left.select(F.col("kb").alias("key"))).distinct()
+        finer = materialize(finer.join(asked, "key", "left_semi").select("cell", F.col("key").alias("parent"),
+                                                                         child.alias("key"), *cols))
+        parts = materialize(_boxes(finer, ["parent", "key"], cols))
+        finer = finer.drop("parent")
+
+        def side_of(s: str) -> DataFrame:
+            return parts.select(F.col("parent").alias(f"k{s}"), F.col("key").alias(f"n{s}"),
+                                F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+
+        halves = left.select("a", "b", "ka", "kb").join(side_of("a"), "ka").join(side_of("b"), "kb")
+        open_ = materialize(halves.where(_far("lo_a", "hi_a", "lo_b", "hi_b", d, True) <= F.lit(eps2)).select(
+            "a", "b", F.col("na").alias("ka"), F.col("nb").alias("kb"), "lo_a", "hi_a", "lo_b", "hi_b"))
+
+
+def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", cols=None) -> DataFrame:
+    """``(id_col, label)``: labels 0..k-1 by the smallest member id among the core points,
+    noise -1.
+
+    A core point has at least ``min_samples`` points within ``eps``, itself included; a
+    point that is not core takes the smallest label among the core points within
+    ``eps``.  Repeated places and rows count each.  Coordinates must be finite; a null one
+    makes the point noise.  An empty table gives no rows.
+    """
+    cols = cols or [c for c in df.columns if c.startswith("s_")]
+    d, eps2 = len(cols), float(eps) * float(eps)
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    reach = math.ceil(eps / side)
+    points = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in cols])
+    cell = F.array(*[F.floor(F.col(c) / F.lit(side)).cast("double") for c in cols])
+    places = materialize(points.dropna(subset=cols).groupBy(*cols)
+                         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumn("cell", cell))
+    cells = materialize(places.groupBy("cell").agg(
+        F.sum("n").alias("points"), F.count(F.lit(1)).alias("places"),
+        F.array(*[F.min(c) for c in cols]).alias("lo"), F.array(*[F.max(c) for c in cols]).alias("hi"))
+        .withColumn("dense", F.col("points") >= min_samples))
+    near = materialize(_around(cells, d, reach, eps2))
+
+    # sparse places against the cells around; hot cells are cut by place
+    cuts = F.ceil(F.col("places") / F.lit(CELL_ROWS)).cast("int")
+    kinds = cells.select("cell", "dense", cuts.alias("cuts"))
+    sparse = materialize(places.join(cells.where(~F.col("dense")).select("cell"), "cell", "left_semi"))
+    probes = (sparse.select(F.col("cell").alias("a"), *[F.col(c).alias(f"p_{c}") for c in cols])
+              .join(near.select("a", F.col("b").alias("cell")), "a").join(kinds, "cell")
+              .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
+    dealt = places.join(kinds, "cell").withColumn("cut", F.pmod(F.xxhash64(*cols), F.col("cuts")).cast("int"))
+    d2 = reduce(lambda x, y: x + y, [(F.col(f"p_{c}") - F.col(c)) * (F.col(f"p_{c}") - F.col(c)) for c in cols])
+    here = [f"p_{c}" for c in cols]
+    met = probes.drop("dense").join(dealt.drop("cuts"), ["cell", "cut"]).where(d2 <= F.lit(eps2))
+    others = met.groupBy(*here).agg(F.sum("n").alias("others")).select(*[F.col(f"p_{c}").alias(c) for c in cols], "others")
+    own = cells.select("cell", "points")
+    counted = materialize(sparse.join(own, "cell").join(others, cols, "left").withColumn(
+        "core", F.col("points") + F.coalesce("others", F.lit(0)) >= min_samples))
+
+    # cells that hold core places are the nodes
+    sparse_core = materialize(counted.where("core").select("cell", *cols).withColumn("dense", F.lit(False)))
+    core_cells = cells.where("dense").select("cell").unionByName(sparse_core.select("cell").distinct())
+    dense = cells.where("dense").select("cell")
+    dense_pairs = (near.where(F.col("a") < F.col("b")).join(dense.withColumnRenamed("cell", "a"), "a", "left_semi")
+                   .join(dense.withColumnRenamed("cell", "b"), "b", "left_semi"))
+    dense_places = places.join(dense, "cell", "left_semi")
+    from_dense = _touching(dense_pairs, dense_places, cols, side, eps2)
+    core_places = (dealt.where("dense").select("cell", "cut", *cols)
+                   .unionByName(sparse_core.select("cell", F.lit(0).alias("cut"), *cols)))
+    every = (sparse.select(F.col("cell").alias("a"), *[F.col(c).alias(f"p_{c}") for c in cols])
+             .join(near.select("a", F.col("b").alias("cell")), "a").join(kinds, "cell")
+             .withColumn("cut", F.explode(F.sequence(F.lit(0), F.when(F.col("dense"), F.col("cuts") - 1).otherwise(0)))))
+    reached = materialize(every.drop("dense", "cuts").join(core_places, ["cell", "cut"]).where(d2 <= F.lit(eps2))
+                          .select(*[F.col(f"p_{c}").alias(c) for c in cols], "a", F.col("cell").alias("b")).distinct())
+    from_sparse = reached.join(sparse_core.select(*cols), cols, "left_semi").select("a", "b")
+    edges = from_dense.unionByName(from_sparse).unionByName(core_cells.select(F.col("cell").alias("a"), F.col("cell").alias("b")))
+    roots = materialize(component_roots(edges))
+
+    # a cluster is named by the smallest id among its core points
+    core_first = dense_places.select("cell", "first").unionByName(
+        counted.where("core").select("cell", "first")).groupBy("cell").agg(F.min("first").alias("first"))
+    names = (core_first.join(roots.withColumnRenamed("node", "cell"), "cell").groupBy("root").agg(F.min("first").alias("first")))
+    named = materialize(global_rank(names, ["first"], ["root"], rank_col="rank", n_col=None))
+    by_cell = materialize(roots.join(named, "root").select(F.col("node").alias("cell"), (F.col("rank") - 1).cast("int").alias("label")))
+    border_cells = reached.select(*cols, F.col("b").alias("cell")).unionByName(
+        # an own cell with a core place is in reach as well
+        counted.where(~F.col("core")).join(sparse_core.select("cell").distinct(), "cell", "left_semi").select(*cols, "cell"))
+    border = (border_cells.join(counted.where(~F.col("core")).select(*cols), cols, "left_semi").join(by_cell, "cell")
+              .groupBy(*cols).agg(F.min("label").alias("label")))
+    labels = (dense_places.select("cell", *cols).unionByName(sparse_core.select("cell", *cols))
+              .join(by_cell, "cell").select(*cols, "label").unionByName(border))
+    return points.join(labels, cols, "left").select(
+        F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
