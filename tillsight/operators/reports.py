@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.exprs import combine_rows
 
-from tillsight.functions.exprs import month_start
-from tillsight.plans.ranking import exact_quantiles
+from tillsight.functions.exprs import month_start, round_half_up
+from tillsight.plans.ranking import exact_quantiles, global_rank
 
 
 # ------------------------------------------------------------------ counts & KPIs
@@ -261,3 +261,78 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
                       F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
              for i, c in enumerate(columns)]
     return row.select(F.explode(F.array(*items)).alias("d")).select("d.*")
+
+
+# ------------------------------------------------------------------ quartiles and an exact-size sample
+def describe_with_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``describe`` with the exact 25, 50 and 75 % quantiles (linear), long form; all columns'
+    quantiles come from one counted value table."""
+    names = {f"q{i}_{k}": (c, q) for i, c in enumerate(columns) for k, q in (("25", .25), ("50", .5), ("75", .75))}
+    q = exact_quantiles(df, names)
+    items = [F.struct(F.lit(c).alias("column"), *[F.col(f"q{i}_{k}").alias(f"q{k}") for k in ("25", "50", "75")])
+             for i, c in enumerate(columns)]
+    return describe(df, columns).join(q.select(F.explode(F.array(*items)).alias("d")).select("d.*"), "column")
+
+
+def hash_sample(df: DataFrame, n: int, key: str = "customer_id") -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer): those whose key has the smallest hash.
+
+    The same rows whatever the partitions.  Rows above a threshold that about ``n`` of
+    them are expected to pass are dropped where they lie, so only about ``n`` are ordered;
+    should too few pass, the threshold doubles.  Of equal keys any may be taken.
+    """
+    total = df.count()
+    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
+    at = F.conv(F.substring("_h", 1, 12), 16, 10).cast("long")
+    share = min(1.0, (n + 6 * n ** 0.5 + 10) / max(total, 1))
+    while True:
+        passed = hashed.where(at < F.lit(int(share * (1 << 48)))) if share < 1 else hashed
+        if share >= 1 or passed.count() >= n:
+            return passed.orderBy("_h", key).limit(n).drop("_h")
+        share = min(1.0, 2 * share)
+
+
+# ------------------------------------------------------------------ report orders, percent view, headline figures
+def priority_report(customers: DataFrame) -> DataFrame:
+    """Customers by descending churn risk, then CLV (to 6 decimals; ties by id), with their place."""
+    r = customers.select("customer_id", "persona", "customer_tier", "health_score", "churn_risk", "clv_estimate",
+                         round_half_up(F.col("churn_risk"), 6).alias("_risk"), round_half_up(F.col("clv_estimate"), 6).alias("_clv"))
+    return global_rank(r, [("_risk", False), ("_clv", False)], ["customer_id"], rank_col="place", n_col=None).drop("_risk", "_clv")
+
+
+def scoring_report(customers: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` customers of lowest health (to 6 decimals; ties by id)."""
+    h = customers.withColumn("_h", round_half_up(F.col("health_score"), 6))
+    return top_n(h, "_h", n, ascending=True).select("customer_id", "health_score", "churn_risk", "customer_tier", "persona")
+
+
+def percent_view(df: DataFrame, columns: list[str], decimals: int = 1) -> DataFrame:
+    """Rates as text: a column whose values all lie within -1..1 is a share and is shown
+    times 100, others as they are; null is a dash.  One aggregate finds all columns' ranges."""
+    top = df.agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(c) for c in columns]).first()
+    shown = {c: round_half_up(F.col(c).cast("double") * F.lit(100.0 if top[c] is None or top[c] <= 1 else 1.0), decimals)
+             for c in columns}
+    return df.withColumns({c: F.when(v.isNotNull(), F.format_string(f"%.{decimals}f%%", v)).otherwise(F.lit("—"))
+                           for c, v in shown.items()})
+
+
+def executive_report(tx: DataFrame, customers: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Critical actions, revenue per order, the most common tier and persona (ties by
+    name) and the country with most revenue (ties by name), one row."""
+    t = tx.agg((F.sum("revenue") / F.greatest(F.count_distinct("invoice_id"), F.lit(1))).alias("average_order"))
+    c = campaigns.agg(F.count_if(F.col("priority") == "Critical").alias("critical_actions"))
+
+    def most(df: DataFrame, by: str, value, out: str) -> DataFrame:
+        return df.groupBy(by).agg(value.alias("_v")).agg(F.min(F.struct(-F.col("_v"), F.col(by).alias("k"))).alias("m")
+                                                         ).select(F.col("m.k").alias(out))
+
+    one = F.count(F.lit(1))
+    return combine_rows(c, t, most(customers, "customer_tier", one, "top_tier"), most(customers, "persona", one, "top_persona"),
+                        most(tx, "country", F.round(F.sum("revenue"), 6), "top_country"))
+
+
+def campaign_of_customer(campaigns: DataFrame, customer_id: str) -> DataFrame:
+    """The action shown for one customer; Critical and High count as high priority."""
+    return customer_by_id(campaigns, customer_id).select(
+        "customer_id", "recommended_action", "suggested_offer", "priority",
+        F.when(F.col("priority").isin("Critical", "High"), "High").otherwise("Normal").alias("action_priority"))
