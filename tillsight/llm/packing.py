@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for part in byte_slices(batches, "text"):
+        for part in byte_slices(batches, "text", 1024, 2 << 20):
             rows = []
             data, ends = gathered(part["text"], encode)
             at = ends.tolist()

@@ -37,14 +37,15 @@ class Generations(dict):
         return new
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = SLICE_ROWS,
+                size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose text in ``column`` is bounded, but for a last long row."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype("int64"))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            stop = min(int(np.searchsorted(ends, before + SLICE_BYTES)) + 1, at + SLICE_ROWS, batch.num_rows)
+            stop = min(int(np.searchsorted(ends, before + size)) + 1, at + rows, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
 
