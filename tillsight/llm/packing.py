@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import dense_ordinals, select_text
 from tillsight.llm.trees import CapacityTree
-from tillsight.llm.words import Generations, byte_slices, gathered
+from tillsight.llm.words import SLICE_BYTES, Generations, byte_slices, gathered
 from tillsight.session import materialize
 
 #: Entries of one generation of a cache (about 200 bytes each, two generations).
@@ -116,7 +116,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset`` and, ``with_ids``, the ids themselves (4 bytes little-endian each).
 
@@ -126,12 +126,15 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     ``window`` numbers, reaches the driver.  Pieces then get their number within their
     length and look up their place in the plan.
 
+    A task tokenizes slices of about ``slice_bytes`` of text: larger ones look up fewer words
+    and take more memory; the rows are the same.
+
     Null and empty texts are the end id alone.  Null ids and repeated rows are packed
     like others.  An empty table gives no rows.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for part in byte_slices(batches, "text", 1024, 2 << 20):
+        for part in byte_slices(batches, "text", size=slice_bytes):
             rows = []
             data, ends = gathered(part["text"], encode)
             at = ends.tolist()
