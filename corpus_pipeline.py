@@ -41,7 +41,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 (op 7), one row per piece, with its ids."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1,
+                slice_bytes=2 << 20)  # the workers still hold the classifier's caches
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates),
