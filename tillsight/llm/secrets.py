@@ -28,20 +28,30 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 CLASSES = (
     ("digits", re.compile(rb"[0-9]{24,}"), 24, 3.1),
     ("hex", re.compile(rb"[0-9A-Fa-f]{24,}"), 24, 3.2),
-    ("alphanumeric", re.compile(rb"[0-9A-Za-z]{20,}"), 20, 3.8),
+    ("lower", re.compile(rb"[a-z]{24,}"), 24, 3.5),
+    ("upper", re.compile(rb"[A-Z]{24,}"), 24, 3.5),
+    ("alphanumeric", re.compile(rb"[0-9A-Za-z]{20,}"), 20, 3.7),
     ("base64", re.compile(rb"[0-9A-Za-z+/_=-]{20,}"), 20, 3.9),
 )
-#: Spans that lie in one of these are suppressed: web addresses, UUIDs, file paths of
-#: words, data:... prefixes, words joined by dashes or underscores, one repeated
+#: Spans that lie in one of these are suppressed: web addresses, UUIDs, one repeated
 #: character, and values that say they are samples.
 ALLOWED = (
     re.compile(rb"(?i)\b[a-z][a-z0-9+.-]*://[^\s\"'<>]+"),
     re.compile(rb"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"),
-    re.compile(rb"(?:/?[A-Za-z]+[0-9]?)(?:[/_-]+[A-Za-z]+[0-9]?)+/?"),
-    re.compile(rb"[A-Za-z]+"),
     re.compile(rb"([0-9A-Za-z+/_=-])\1{7,}"),
     re.compile(rb"(?i)[a-z0-9+/_=-]*(?:example|sample|dummy|placeholder|xxxx)[a-z0-9+/_=-]*"),
 )
+#: Words, words joined by dashes, underscores or slashes, and file paths are suppressed
+#: where they read like words: at least WORDLIKE of the span's pairs of adjacent letters
+#: are among the frequent ones.
+WORDS = re.compile(rb"/?[A-Za-z]+[0-9]?(?:[/_-]+[A-Za-z]+[0-9]?)*/?")
+WORDLIKE = 0.25
+# Frequent letter pairs of English, German, French and Spanish words.
+FREQUENT_PAIRS = frozenset(
+    b"ac al an ar as at be ce ch co de di ea ed ei el en er es et ge ha he hi ic ie il in io is it "
+    b"la le li ll ma me nd ne ng nt of om on or ou qu ra re ri ro se si st ta te th ti to un ur us ve".split())
+#: What is left of a span beside a base match stays from this length on.
+MIN_REST = 8
 
 
 def entropy_spans(s: bytes, window: int, least: float) -> list[tuple[int, int]]:
@@ -75,26 +85,65 @@ def entropy_spans(s: bytes, window: int, least: float) -> list[tuple[int, int]]:
     return spans
 
 
-def _allowed(text: bytes, a: int, b: int) -> bool:
-    low, high = max(0, a - 200), b + 200
-    return any(m.start() <= a and b <= m.end() for p in ALLOWED for m in p.finditer(text, low, high))
+def wordlike(span: bytes) -> bool:
+    """Whether the letters of ``span`` pair up as those of words do; random letters do so
+    in about a tenth of their pairs."""
+    low = span.lower()
+    pairs = [low[i:i + 2] for i in range(len(low) - 1) if low[i:i + 2].isalpha()]
+    return bool(pairs) and sum(x in FREQUENT_PAIRS for x in pairs) >= WORDLIKE * len(pairs)
+
 
+def stepwise(span: bytes) -> bool:
+    """Whether most characters are the successor of the one before, as in an alphabet."""
+    return 2 * sum(b - a == 1 for a, b in zip(span, span[1:])) > len(span)
 
-def _candidate_spans(text: bytes, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Spans of high entropy of the candidate ``text[start:end]``.
+
+def _allowed(text: bytes, a: int, b: int) -> bool:
+    low, high = max(0, a - 200), b + 200
+    return (stepwise(text[a:b])
+            or any(m.start() <= a and b <= m.end() for p in ALLOWED for m in p.finditer(text, low, high))
+            or wordlike(text[a:b]) and any(m.start() <= a and b <= m.end() for m in WORDS.finditer(text, low, high)))
+
+
+def _outside(a: int, b: int, base: list[tuple[int, int]], text: bytes) -> list[tuple[int, int]]:
+    """The parts of ``[a, b)`` that no base span covers; beside one, separators are trimmed
+    and parts shorter than MIN_REST are not kept."""
+    parts, at = [], a
+    for x, y in base:
+        if x < b and at < y:
+            parts.append((at, x))
+            at = max(at, y)
+    if at == a:
+        return [(a, b)]
+    out = []
+    for x, y in [*parts, (at, b)]:
+        while x < y and text[x] in b"+/_=-":
+            x += 1
+        while x < y and text[y - 1] in b"+/_=-":
+            y -= 1
+        if y - x >= MIN_REST:
+            out.append((x, y))
+    return out
+
+
+def _candidate_spans(text: bytes, start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of high entropy of the candidate ``text[start:end]``; ``base`` are base spans by start.
 
     Every class slides its own window over each of its maximal runs, so a key glued to a
-    name is seen with the threshold of its own characters.  Spans that touch a base span
-    or are allowed leave; what is left of all classes is joined where it overlaps.
+    name is seen with the threshold of its own characters.  Base spans are cut out of the
+    spans, parts that are allowed leave; what is left of all classes is joined where it
+    overlaps.
     """
+    base = [(x, y) for x, y in base if x < end and start < y]
     spans = []
     for _, runs, window, least in CLASSES:
         for run in runs.finditer(text, start, end):
             at = run.start()
-            spans += [(at + a, at + b) for a, b in entropy_spans(run[0], window, least)]
+            for a, b in entropy_spans(run[0], window, least):
+                spans += _outside(at + a, at + b, base, text)
     joined: list[tuple[int, int]] = []
     for a, b in sorted(set(spans)):
-        if any(x < b and a < y for _, x, y in base) or _allowed(text, a, b):
+        if _allowed(text, a, b):
             continue
         if joined and joined[-1][1] > a:
             joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
@@ -109,7 +158,7 @@ def find_secrets(text: bytes) -> list[tuple[str, int, int]]:
     if b"AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = list(found)
+    base = sorted((a, b) for _, a, b in found)
     for m in CANDIDATE.finditer(text):
         found += [("entropy", a, b) for a, b in _candidate_spans(text, *m.span(), base)]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -125,8 +174,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The base kinds assign, access and hex are leftmost, non-overlapping matches of fixed
     patterns.  Kind entropy adds the stretches of key-like strings where the sliding windows
-    of any character class, over that class's runs, have a high entropy, unless they touch
-    a base span or lie within an allowed form (addresses, UUIDs, paths, plain words, samples).
+    of any character class, over that class's runs, have a high entropy, less what base
+    spans cover and what lies within an allowed form (addresses, UUIDs, samples, and words
+    and paths whose letters pair up as in words).
 
     Each text is scanned whole, in its own row; nothing is shuffled.  Null and empty
     texts have no spans.  Null ids, repeated rows and an empty table pass through.
