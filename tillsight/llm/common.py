@@ -28,6 +28,36 @@ def select_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a decision on a row is known by: its id, which may be null or shared, and 128
+    bits of its text.  No field is null.  Rows equal in both get equal decisions."""
+    number, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    return F.struct(number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"),
+                    F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
+def select_rows(docs: DataFrame) -> DataFrame:
+    """``(row, text)``: row keys, and the text as UTF-8 bytes, null texts as empty."""
+    return select_text(docs.select(row_key().alias("doc_id"), F.col("text"))).withColumnRenamed("doc_id", "row")
+
+
+def row_id(row: str = "row") -> Column:
+    """The id in a row key, null where the row has none."""
+    return F.when(~F.col(f"{row}.no_id"), F.col(f"{row}.id"))
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """``docs``, same columns, less the rows whose key is in ``rows.row`` (``left_anti``) or
+    is not (``left_semi``); with ``once``, one of the rows with equal key."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, row_key())
+    if once:  # before the join: repeated rows meet in the tasks that read them, then in the one shuffle
+        keyed = keyed.dropDuplicates([key])
+    return keyed.join(rows.select(F.col("row").alias(key)), key, how).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def portions(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices: what a task holds as Python objects stays small."""
     for batch in batches:

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillsight.llm.common import portions, select_text
+from tillsight.llm.common import join_rows, portions, select_rows, select_text
 
 #: Token positions that a seed looks at; the others may hold any token.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
@@ -19,7 +20,7 @@ STRETCH, SHARE = 13, 0.8
 BLOCK_TOKENS = 400_000
 
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-SPANS = "doc_id long, item_id long, start long, end long, n_equal long"
+SPANS = ("item_id", "start", "end", "n_equal")
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -122,8 +123,15 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Null or empty texts and items match nothing.  Null ids are passed on.  Repeated rows
     give repeated spans.
     """
-    spark = docs.sparkSession
     src = select_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return _spans(src.withColumnRenamed("doc_id", "row"), benchmark, item_id_col, item_text_col).withColumnRenamed(
+        "row", "doc_id")
+
+
+def _spans(src: DataFrame, benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``(row, item_id, start, end, n_equal)`` of ``(row, text)``."""
+    spark = src.sparkSession
+    schema = T.StructType([src.schema["row"], *(T.StructField(c, T.LongType()) for c in SPANS)])
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"),
                              F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -137,23 +145,21 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block = held.value
             for batch in portions(batches):
-                rows = [(doc_id, block.item_ids[i], s, e, n)
-                        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
-                        for i, s, e, n in block.spans(text)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
-                                                     names=["doc_id", "item_id", "start", "end", "n_equal"])
-
-        part = src.mapInArrow(scan, SPANS)
+                found = [(at, block.item_ids[i], s, e, n) for at, text in enumerate(batch["text"].to_pylist())
+                         for i, s, e, n in block.spans(text)]
+                if found:
+                    at, *spans = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch["row"].take(at), *spans], names=["row", *SPANS])
+
+        part = src.mapInArrow(scan, schema)
         out = part if out is None else out.union(part)
     return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that repeat a test item; same columns.  A row with a
-    null id goes if any row with a null id repeats one."""
-    bad = contaminated_spans(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the rows that repeat a test item; same columns.  Each row is judged
+    by its own text, rows that share an id or have none too."""
+    return join_rows(docs, _spans(select_rows(docs), benchmark).select("row").distinct(), "left_anti")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -10,10 +10,20 @@ from pyspark.sql import types as T
 from tillsight.llm.common import LOWER, SPACE, UPPER, portions, salted_join
 from tillsight.session import materialize
 
+
 def _key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """No map or variant anywhere in it."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _hashes(key: Column) -> list[Column]:
     """128 bits in two columns: at 10^11 lines 64 would let a few unlike lines meet."""
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
@@ -42,10 +52,13 @@ def _dedup(docs: DataFrame, row: Column, text_col: str, min_docs: int, min_chars
         keys.where(F.char_length("key") >= min_chars).select(*_hashes(F.col("key")))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
 
-    # rows equal in all columns drop the same lines: they share one list of positions
-    src = src.withColumns({"text_hash": F.xxhash64("text"), "row_hash": F.xxhash64("row")})
+    # equal texts drop the same lines, so rows with equal hashes may share one list of
+    # positions; the other columns only spread copies (maps have no hash)
+    others = [F.col("row")[f.name] for f in src.schema["row"].dataType.fields if _hashable(f.dataType)]
+    src = src.withColumns({"text_hash": F.xxhash64("text"), "row_hash": F.xxhash64(F.lit(1), "text", *others)})
     placed = (src.select("row_hash", "text_hash", F.posexplode(lines).alias("pos", "line"))
-              .select("row_hash", "text_hash", "pos", *_hashes(_key(F.col("line")))))
+              .select("row_hash", "text_hash", "pos", _key(F.col("line")).alias("key"))
+              .where(F.char_length("key") >= min_chars).select("row_hash", "text_hash", "pos", *_hashes(F.col("key"))))
     dropped = (salted_join(placed, shared, ["h1", "h2"], "n", [F.col("row_hash"), F.col("pos")])
                .groupBy("row_hash", "text_hash").agg(F.collect_set("pos").alias("dropped")))
     joined = (src.withColumn("text", F.col("text").cast("binary"))
@@ -80,12 +93,14 @@ def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1
     ``n_chars`` is counted anew where lines went.  A document all of whose lines are
     shared stays with an empty text."""
     others = [c for c in docs.columns if c != "text"]
-    out = _dedup(docs, F.struct(*others), "text", min_docs, min_chars)
-    made = {c: F.col(f"row.`{c}`").alias(c) for c in others}
+    held = {c: f"c{i}" for i, c in enumerate(others)}  # names may hold dots
+    row = F.struct(*[F.col(f"`{c}`").alias(k) for c, k in held.items()]) if others else F.struct(F.lit(0).alias("c0"))
+    out = _dedup(docs, row, "text", min_docs, min_chars)
+    made = {c: F.col(f"row.{k}").alias(c) for c, k in held.items()}
     made["text"] = F.col("kept_text").alias("text")
     if "n_chars" in made:
         made["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text")).otherwise(
-            F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+            F.col(f"row.{held['n_chars']}")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*[made[c] for c in docs.columns])
 
 

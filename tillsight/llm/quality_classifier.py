@@ -8,10 +8,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tillsight.llm.common import map_rows, portions, select_text
+from tillsight.llm.common import join_rows, map_rows, portions, row_id, select_rows, select_text
 from tillsight.session import materialize
 
 #: Word buckets, dimensions, entries of an index vector that are not 0, neighbours on each side.
@@ -78,18 +80,18 @@ class Words:
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts, about WORDS_AT_ONCE words at a time."""
-    ids, texts, size = [], [], 0
+    """Rows' keys and texts, about WORDS_AT_ONCE words at a time."""
+    rows, texts, size = [], [], 0
     for batch in portions(batches):
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            ids.append(doc_id)
+        for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            rows.append(row)
             texts.append(text)
             size += len(text)
             if size >= 6 * WORDS_AT_ONCE:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield rows, texts
+                rows, texts, size = [], [], 0
+    if rows:
+        yield rows, texts
 
 
 def _sum_rows(values: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
@@ -125,7 +127,7 @@ def context_counts(docs: DataFrame) -> DataFrame:
                                              names=["bucket", *(f"c{i}" for i in range(DIM))])
 
     cols = [f"c{i}" for i in range(DIM)]
-    return (docs.mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in cols))
+    return (docs.select(F.lit(0).alias("row"), "text").mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in cols))
             .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]))
 
 
@@ -140,11 +142,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``(doc_id, v array<float>)``: means over a text's words of the stems' vectors, of the
+    """``(row, v array<float>)`` of ``(row, text)``: means over a text's words of the stems' vectors, of the
     shapes' vectors, and of the vector of a repeated word."""
+    key = to_arrow_type(docs.schema["row"].dataType)
+
     def pool(batches):
         words = Words()
-        for ids, texts in _portions(batches):
+        for rows, texts in _portions(batches):
             stem, shape, same, n = words.read(texts)
             out = np.zeros((len(n), 2 * DIM), "f4")
             full = np.flatnonzero(n)
@@ -154,9 +158,9 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                 out[full, DIM:] = np.add.reduceat(vectors[shape] + same[:, None] * vectors[AGAIN], starts, axis=0)
                 out[full] /= n[full, None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(list(out), pa.list_(pa.float32()))], names=["doc_id", "v"])
+                [pa.array(rows, key), pa.array(list(out), pa.list_(pa.float32()))], names=["row", "v"])
 
-    return docs.mapInArrow(pool, "doc_id long, v array<float>")
+    return docs.mapInArrow(pool, T.StructType([docs.schema["row"], T.StructField("v", T.ArrayType(T.FloatType()))]))
 
 
 class Network:
@@ -232,29 +236,34 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remaind
     the score is the share of label 1 (0.5 with no labels).  Repeated rows stay.
     """
     src = select_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return _scored(src.withColumnRenamed("doc_id", "row"), F.col("row"), labels, modulus, remainder).select(
+        F.col("row").alias("doc_id"), held_out("row", modulus, remainder).alias("held_out"), "score",
+        (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+
+
+def _scored(src: DataFrame, doc_id: Column, labels: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    """``(row, score)`` of ``(row, text)``; ``doc_id`` is the id in ``row``."""
     vectors = word_vectors(src)
     rows = materialize(pooled(src, vectors))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(
         F.col("y").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    fit = (rows.join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "v").limit(FIT_ROWS)
+    fit = (rows.select(doc_id.alias("doc_id"), "v").join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "v").limit(FIT_ROWS)
            .select("v", "y").toPandas())
     x = np.array(fit["v"].tolist(), "f8").reshape(-1, 2 * DIM)
     network = Network(x, (fit["y"].to_numpy("f8") == 1).astype("f8"))
 
     def score(batch):
         x = batch["v"].flatten().to_numpy().reshape(-1, 2 * DIM).astype("f8")
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(network.scores(x))], names=["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([batch["row"], pa.array(network.scores(x))], names=["row", "score"])
 
-    return map_rows(rows, score, "doc_id long, score double").select(
-        "doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score",
-        (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+    return map_rows(rows, score, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
-def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted 0; same columns.  Rows with a null id stay only if
-    all rows with a null id do."""
-    bad = quality_scores(docs, labels).where(F.col("predicted") == 0).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def without_rejected(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """``docs`` without the rows predicted 0; same columns.  Each row is judged by its own
+    text, rows that share an id or have none too."""
+    scores = _scored(select_rows(docs), row_id(), labels, modulus, remainder)
+    return join_rows(docs, scores.where(F.col("score") < PREDICT_AT).select("row").distinct(), "left_anti")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillsight.llm.common import HEAVY_SHARE, components, local_components, map_rows, salted_join, select_text
+from tillsight.llm.common import (
+    HEAVY_SHARE, components, join_rows, local_components, map_rows, row_id, salted_join, select_rows, select_text)
 from tillsight.session import materialize, shuffle_partitions
 
 BITS, XX_SEED = 64, 42
@@ -206,28 +208,37 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks:
     Null ids are never a component's id unless all its ids are null.  An empty table
     gives no rows.
     """
+    src = select_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return _grouped(src.withColumnRenamed("doc_id", "row"), F.col("row"), shingle, max_bits, blocks).select(
+        F.col("row").alias("doc_id"), "fp", "component_id")
+
+
+def _grouped(src: DataFrame, doc_id: Column, shingle: int, max_bits: int, blocks: int = 3) -> DataFrame:
+    """``(row, fp, root, component_id)`` of ``(row, text)``; ``doc_id`` is the id in ``row``
+    and ``root`` the component's smallest fingerprint."""
     def hashes(batch):
         fps = np.array([fingerprint(x, shingle) for x in batch["text"].to_pylist()], "u8").view("i8")
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch["row"], pa.array(fps)], names=["row", "fp"])
 
-    src = select_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    prints = materialize(map_rows(src, hashes, "doc_id long, fp long"))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    prints = materialize(map_rows(src, hashes, T.StructType([src.schema["row"], T.StructField("fp", T.LongType())])))
+    nodes = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(linked_fingerprints(nodes, max_bits, blocks))
     rooted = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")))
     classes = materialize(salted_join(rooted.select("fp", "n", "root"), least, ["root"], "m", [F.col("fp")])
-                          .select("fp", "n", "component_id"))
-    return salted_join(prints, classes, ["fp"], "n", [F.col("doc_id")]).select("doc_id", "fp", "component_id")
+                          .select("fp", "n", "root", "component_id"))
+    # rows are numbered as the files hold them: repeated rows, null ids too, are spread
+    return salted_join(prints, classes, ["fp"], "n", [F.monotonically_increasing_id()]).select(
+        "row", "fp", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` reduced to one document of each SimHash group, the one with the smallest
-    id; of rows that repeat an id one stays.  Same columns."""
-    groups = simhash_groups(docs, shingle, max_bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` reduced to one row of each SimHash group, one with the smallest id (null ids
+    last; of unlike texts with that id, the one with the least hash).  Same columns.  Rows
+    of different groups all stay, whether they share an id or have none."""
+    groups = _grouped(select_rows(docs), row_id(), shingle, max_bits)
+    return join_rows(docs, groups.groupBy("root").agg(F.min("row").alias("row")), "left_semi", once=True)
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
