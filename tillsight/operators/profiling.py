@@ -13,7 +13,8 @@ from tillsight.functions.exprs import combine_rows
 from pyspark.sql import types as T
 
 from tillsight.functions.exprs import to_ntz, to_number
-from tillsight.plans.ranking import exact_quantiles
+from tillsight.plans.ranking import counted_quantiles
+from tillsight.session import materialize
 
 REQUIRED = ["invoice_id", "customer_id", "invoice_date", "quantity", "unit_price"]
 
@@ -42,26 +43,54 @@ def _type_name(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
+def value_counts_long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(__g, __s, __v, __w)``: each value of each column, as text and (numeric columns) as
+    a double, with its rows; nulls left out.
+
+    One scan and one shuffle for all columns.  A row is spread into one narrow row per
+    column, which the tasks count before the shuffle, so a value that a third of the rows
+    hold leaves a task as one row."""
+    numeric = {c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)}
+
+    def entry(c: str):
+        x = F.col(f"`{c}`")
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            x = x + F.lit(0.0)  # -0.0 is 0.0
+        return F.struct(F.lit(c).alias("__g"), x.cast("string").alias("__s"),
+                        (x.cast("double") if c in numeric else F.lit(None).cast("double")).alias("__v"))
+    long = df.select(F.explode(F.array(*[entry(c) for c in columns])).alias("e")).select("e.*")
+    return long.where(F.col("__s").isNotNull()).groupBy("__g", "__s", "__v").agg(F.count(F.lit(1)).alias("__w"))
+
+
 def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column: type, missing count and %, distinct count, an example value
     (the smallest, for determinism, first 80 characters), and for numeric
-    columns min, max and the IQR outlier count (linear quartiles)."""
+    columns min, max and the IQR outlier count (linear quartiles).
+
+    One plain aggregate gives counts and ranges; distinct counts, examples, quartiles and
+    outliers all come from one table of counted values.  With ``approx_distinct`` only
+    numeric columns are counted by value, and distinct counts are estimated."""
     cols = df.columns
     numeric = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    counted = numeric if approx_distinct else cols
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        x = F.col(c)
-        aggs += [
-            F.count_if(x.isNull()).alias(f"m{i}"),
-            (F.approx_count_distinct(x) if approx_distinct else F.count_distinct(x)).alias(f"u{i}"),
-            F.substring(F.min(x.cast("string")), 1, 80).alias(f"e{i}"),
-        ]
+        x = F.col(f"`{c}`")
+        aggs.append(F.count_if(x.isNull()).alias(f"m{i}"))
+        if approx_distinct:
+            aggs += [F.approx_count_distinct(x).alias(f"u{i}"), F.substring(F.min(x.cast("string")), 1, 80).alias(f"e{i}")]
         if c in numeric:
             aggs += [F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
     stats = df.agg(*aggs)
+    hist = materialize(value_counts_long(df, counted)) if counted else None
+    if not approx_distinct:
+        per = [(F.count_if(F.col("__g") == c).alias(f"u{i}"),
+                F.substring(F.min(F.when(F.col("__g") == c, F.col("__s"))), 1, 80).alias(f"e{i}")) for i, c in enumerate(cols)]
+        stats = combine_rows(stats, hist.agg(*[a for pair in per for a in pair]))
     if numeric:
-        q = exact_quantiles(df, {f"q1_{cols.index(c)}": (c, 0.25) for c in numeric}
-                            | {f"q3_{cols.index(c)}": (c, 0.75) for c in numeric}).first()
+        values = hist.where(F.col("__v").isNotNull() & ~F.isnan("__v")).select("__g", "__v", "__w")
+        q = counted_quantiles(values, {f"q1_{cols.index(c)}": (c, 0.25) for c in numeric}
+                              | {f"q3_{cols.index(c)}": (c, 0.75) for c in numeric}).first()
         out_aggs = []
         for c in numeric:
             i = cols.index(c)
@@ -70,9 +99,9 @@ def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
                 out_aggs.append(F.lit(0).cast("long").alias(f"o{i}"))
                 continue
             lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-            x = F.col(c).cast("double")
-            out_aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"o{i}"))
-        stats = combine_rows(stats, df.agg(*out_aggs))
+            beyond = (F.col("__g") == c) & ((F.col("__v") < F.lit(lo)) | (F.col("__v") > F.lit(hi)))
+            out_aggs.append(F.coalesce(F.sum(F.when(beyond, F.col("__w"))), F.lit(0)).alias(f"o{i}"))
+        stats = combine_rows(stats, hist.agg(*out_aggs))
     rows = []
     for i, c in enumerate(cols):
         is_num = c in numeric

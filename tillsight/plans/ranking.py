@@ -154,6 +154,14 @@ def exact_quantiles(df: DataFrame, specs: dict, by: Sequence[str] = (),
     long = _stack_long(df, {c: c for c in columns}, keep=by)
     long = long.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     hist = long.groupBy(*by, "__g", "__v").agg(F.count(F.lit(1)).alias("__w"))
+    return counted_quantiles(hist, specs, by, num_partitions)
+
+
+def counted_quantiles(hist: DataFrame, specs: dict, by: Sequence[str] = (),
+                      num_partitions: int | None = None) -> DataFrame:
+    """``exact_quantiles`` of values already counted: ``(by..., __g, __v, __w)``, where ``__g``
+    names the column, ``__v`` is the value (neither null nor NaN) and ``__w`` its rows."""
+    by = list(by)
     cum = global_cumsum(hist, ["__v"], group_cols=by + ["__g"], weight_col="__w", out_col="__c",
                         total_col="__N", num_partitions=num_partitions)
     start = F.col("__c") - F.col("__w")

@@ -2,8 +2,8 @@
 
 * CSV: read with an all-string schema from the header (no inference pass),
   then the cleaning step coerces types; JSON: records or JSON lines.
-* Tables: parquet under a base directory, written to a fresh path and then
-  swapped in, because overwriting a path that is being read fails in Spark.
+* Tables: parquet under a base directory, each save a numbered version that counts
+  once it is complete; overwriting a path that is being read fails in Spark.
 * Models: Spark ML persistence.  Run summary: one nested JSON record.
 * SQL databases: ``read_jdbc`` / ``write_jdbc`` need the vendor driver jar on
   the cluster classpath; nothing here bundles one.
@@ -19,12 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV with every column as string (one header read, no inference pass)."""
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+             corrupt_col: str | None = None) -> DataFrame:
+    """Header CSV with every column as string (one header read, no inference pass).
+
+    Rows with too few or too many fields are read as far as they go; ``corrupt_col`` names
+    a column that holds such a row's text, null elsewhere."""
     header = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    return (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").csv(path))
+    extra = [corrupt_col] if corrupt_col else []
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*header, *extra]])
+    reader = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
+              .option("mode", "PERMISSIVE"))
+    if corrupt_col:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_col)
+    return reader.csv(path)
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -45,23 +53,35 @@ class TableStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
+    def _children(self, path: str) -> list[str]:
+        """Names of the folders in ``path``, through Hadoop's file system API; none if it is missing."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+    def _complete(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def _current(self, name: str) -> str | None:
-        pointer = f"{self.base}/{name}/_CURRENT"
-        try:
-            rows = self.spark.read.text(pointer).collect()
-        except Exception:  # noqa: BLE001
-            return None
-        return rows[0][0] if rows else None
+        """The newest version whose writing was completed."""
+        for version in sorted(self._children(f"{self.base}/{name}"), reverse=True):
+            if version.startswith("v-") and self._complete(f"{self.base}/{name}/{version}"):
+                return f"{self.base}/{name}/{version}"
+        return None
 
     def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
-        """Replace table ``name``: write a new version, then point the table at it."""
-        version = f"{self.base}/{name}/v-{uuid.uuid4().hex}"
+        """Replace table ``name`` by a new version, numbered after all that exist.
+
+        The version counts once Spark has put its ``_SUCCESS`` mark: readers see the old
+        table or the new one, and a write that breaks off leaves the old one in place."""
+        numbers = [int(v.split("-")[1]) for v in self._children(f"{self.base}/{name}") if v.startswith("v-")]
+        version = f"{self.base}/{name}/v-{max(numbers, default=0) + 1:010d}-{uuid.uuid4().hex}"
         w = df.write.mode("errorifexists")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(version)
-        self.spark.createDataFrame([(version,)], "p string").coalesce(1).write.mode("overwrite").text(
-            f"{self.base}/{name}/_CURRENT")
         return version
 
     def load(self, name: str) -> DataFrame:
@@ -72,14 +92,7 @@ class TableStore:
 
     def list(self) -> list[str]:
         """Sorted table names (directory listing through Hadoop's file system API)."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = p.getFileSystem(conf)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-        return sorted(n for n in names if self._current(n) is not None)
+        return sorted(n for n in self._children(self.base) if self._current(n) is not None)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
