@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.plans.ranking import exact_quantiles
+from tillsight.session import materialize
 
 EULER = 0.5772156649015329
 
@@ -108,6 +109,7 @@ def isolation_forest(df: DataFrame, contamination: float | str = "auto", n_trees
     if contamination == "auto":
         threshold = 0.5
     else:
+        scored = materialize(scored)   # the forest scores every row once, not again for the output
         threshold = exact_quantiles(scored, {"t": ("anomaly_score", 1.0 - float(contamination))}).first()["t"]
     return scored.select(id_col, F.round("anomaly_score", 3).alias("anomaly_score"),
                          (F.col("anomaly_score") > F.lit(threshold)).cast("int").alias("anomaly_flag"))

@@ -160,6 +160,35 @@ def score_predictions(customers: DataFrame, bundle: PredictiveBundle) -> DataFra
     }).drop("_nx", "_sp")
 
 
+def save_bundle(bundle: PredictiveBundle, path: str) -> str:
+    """Each model below ``path``, in a folder of its name."""
+    from tillsight.sources.files import save_model
+    for name, model in bundle.models.items():
+        save_model(model, f"{path}/{name}")
+    return path
+
+
+def load_bundle(path: str) -> PredictiveBundle:
+    """The three models that ``save_bundle`` stored."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.regression import RandomForestRegressionModel
+    from tillsight.sources.files import load_model
+    kinds = {"purchase": RandomForestClassificationModel, "next_purchase": RandomForestRegressionModel,
+             "spending": RandomForestRegressionModel}
+    return PredictiveBundle({name: load_model(cls, f"{path}/{name}") for name, cls in kinds.items()}, {})
+
+
+def score_typical_customer(cohort: DataFrame, bundle: PredictiveBundle, minimum: int = 5) -> DataFrame:
+    """The cohort's typical customer (medians, a missing or infinite value counts 0; most
+    common persona and tier; size) with the models' scores; no row below ``minimum`` customers."""
+    from tillsight.operators.reports import typical_customer
+    from tillsight.session import materialize
+    cols = [*MODEL_FEATURES, "churn_risk"]
+    clean = cohort.withColumns({c: finite_or_zero(F.col(c)) for c in cols})
+    typical = typical_customer(clean, cols).where(F.col("customers") >= minimum)
+    return score_predictions(materialize(typical.withColumn("customer_id", F.lit("typical"))), bundle).drop("customer_id")
+
+
 # ------------------------------------------------------------------ M12-M16
 def churn_target(customers: DataFrame) -> tuple[DataFrame, str]:
     if "churned" in customers.columns:
@@ -249,7 +278,12 @@ def predict_churn(result: ChurnResult, customers: DataFrame, model_name: str | N
     name = model_name or result.best_model_name()
     if name not in result.models:
         raise ValueError(f"Unknown churn model: {name}")
-    pred = positive_probability(result.models[name].transform(assemble(customers, CHURN_FEATURES)), "_p")
+    return score_churn(result.models[name], customers)
+
+
+def score_churn(model, customers: DataFrame) -> DataFrame:
+    """``predict_churn`` with one fitted (or loaded) model."""
+    pred = positive_probability(model.transform(assemble(customers, CHURN_FEATURES)), "_p")
     band = F.lit(None).cast("string")
     for lo, hi, lab in reversed(RISK_BANDS):
         band = F.when((F.col("_p") > lo) & (F.col("_p") <= hi), F.lit(lab)).otherwise(band)
@@ -258,6 +292,24 @@ def predict_churn(result: ChurnResult, customers: DataFrame, model_name: str | N
     return out.drop("_p", "features", "zfeatures", "rawPrediction", "probability", "prediction")
 
 
+def save_churn(result: ChurnResult, path: str) -> str:
+    """The fitted churn models below ``path``, each in a folder of its name."""
+    from tillsight.sources.files import save_model
+    for name, model in result.models.items():
+        save_model(model, f"{path}/{name.replace(' ', '_')}")
+    return path
+
+
+def load_churn(path: str, names) -> dict:
+    """``{name: model}`` of stored churn models, for ``score_churn``."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import DecisionTreeClassificationModel, GBTClassificationModel, RandomForestClassificationModel
+    from tillsight.sources.files import load_model
+    kinds = {"Logistic Regression": PipelineModel, "Decision Tree": DecisionTreeClassificationModel,
+             "Random Forest": RandomForestClassificationModel, "Gradient Boosted Trees": GBTClassificationModel}
+    return {n: load_model(kinds[n], f"{path}/{n.replace(' ', '_')}") for n in names}
+
+
 def importance_report(importance: DataFrame) -> DataFrame:
     """Importance (4 dp), within-model share (%) and rank."""
     from pyspark.sql import Window

@@ -539,7 +539,8 @@ def q_model_comparison(spark, sf_dir):
 def q_churn_roc(spark, sf_dir):
     r = _churn(spark, sf_dir)
     labelled, _ = _sup.churn_target(customers(spark, sf_dir))
-    pred = _sup.positive_probability(r.models["Random Forest"].transform(_sup.assemble(labelled, _sup.CHURN_FEATURES)))
+    held_out = _sup.stratified_split(_sup.assemble(labelled, _sup.CHURN_FEATURES).select("customer_id", "label", "features"), "label")[1]
+    pred = _sup.positive_probability(r.models["Random Forest"].transform(held_out))
     return _sup.roc_points(pred, "label", "p1")
 
 
