@@ -1,6 +1,7 @@
 """The text operators against brute force, on small tables with the odd cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 import tillsight.llm.repeats as repeats
 from tillsight.llm import packing, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity
 from tillsight.llm.common import components
-from tillsight.llm.decontaminate import contaminated_spans
+from tillsight.llm.decontaminate import TestBlock, contaminated_spans
 from tillsight.llm.line_dedup import ORACLE, dedup_lines, without_shared_lines
 from tillsight.llm.queries import QUERIES
 
@@ -145,6 +146,21 @@ def test_decontamination(spark):
     assert contaminated_spans(d.limit(0), b).count() == 0 == contaminated_spans(d, b.limit(0)).count()
 
 
+@pytest.mark.parametrize("length", range(1, 15))
+def test_decontamination_meets_every_substitution(length):
+    """All ways of changing as many tokens as the share allows are found, one more is not."""
+    item = [f"w{k}" for k in range(length)]
+    block = TestBlock([(7, " ".join(item).encode())])
+    stretch = min(length, 13)
+    allowed = max(k for k in range(stretch) if stretch - k >= 0.8 * stretch)
+    for n in range(allowed + 2):
+        for out in itertools.combinations(range(length), n):
+            changed = ["x" if k in out else w for k, w in enumerate(item)]
+            spans = block.spans(" ".join(["before", *changed, "after"]).encode())
+            want = max(sum(k not in out for k in range(a, a + stretch)) for a in range(length - stretch + 1)) >= 0.8 * stretch
+            assert bool(spans) == want, (length, out)
+
+
 def test_decontamination_blocks_agree(spark, monkeypatch):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {tuple(r) for r in contaminated_spans(d, b).collect()}

@@ -14,6 +14,8 @@ from tillsight.llm.common import join_rows, portions, select_rows, select_text
 
 #: Token positions that a seed looks at; the others may hold any token.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
+#: Items of fewer tokens have masks of their own length, see ``_short_masks``.
+SHORT = 8
 #: An aligned stretch counts if, of so many tokens (or the whole item, if shorter), this share agrees.
 STRETCH, SHARE = 13, 0.8
 #: Tokens of test items held by one broadcast block (about 100 bytes each).
@@ -39,27 +41,34 @@ def _seeds(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return np.where(known, h | np.uint64(1), np.uint64(0))
 
 
+def _short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of ``n`` < SHORT tokens: of 5 to 7 tokens SHARE lets one be changed, so
+    each mask leaves one position out and some mask meets whichever that is; below, the whole item."""
+    if (n - 1) < SHARE * n:
+        return [tuple(range(n))]
+    return [tuple(k for k in range(n) if k != out) for out in range(n)]
+
+
 class TestBlock:
     """Some test items: vocabulary, token ids and sorted seeds."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.vocabulary: dict[bytes, int] = {}
         self.item_ids, self.ids = [], []
-        short = set()
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], "i4")
             if len(ids):
                 self.item_ids.append(item_id)
                 self.ids.append(ids)
-                if len(ids) <= MASKS[0][-1]:
-                    short.add(len(ids))
-        # an item too short for a seed is looked up whole
-        self.masks = MASKS + tuple(tuple(range(n)) for n in sorted(short))
-        self.seeds = []
-        for m, mask in enumerate(self.masks):
+        # each mask with the lengths of the items it is for
+        longest = max(map(len, self.ids), default=0)
+        masks = [(mask, SHORT, longest) for mask in MASKS]
+        masks += [(mask, n, n) for n in sorted({len(ids) for ids in self.ids if len(ids) < SHORT}) for mask in _short_masks(n)]
+        self.masks, self.seeds = [mask for mask, _, _ in masks], []
+        for mask, least, most in masks:
             hashes, owner, place = [np.zeros(0, "u8")], [np.zeros(0, "i4")], [np.zeros(0, "i4")]
             for i, ids in enumerate(self.ids):
-                if len(ids) > mask[-1] and (m < len(MASKS) or len(ids) == len(mask)):
+                if least <= len(ids) <= most and len(ids) > mask[-1]:
                     h = _seeds(ids, mask)
                     hashes.append(h)
                     owner.append(np.full(len(h), i, "i4"))
@@ -113,8 +122,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Every window of a document and of a test item is hashed under each mask of MASKS,
     which skips some positions, so a changed token spoils only seeds that look at it.
     Equal hashes give an alignment; it counts where, of STRETCH aligned tokens (the whole
-    item if it is shorter), the share SHARE agrees.  Items too short for a seed must
-    occur whole.
+    item if it is shorter), the share SHARE agrees.  Of items of 5 to 7 tokens one
+    token may differ, at any place; shorter ones must occur whole.
 
     The test items are the query set: they are taken in blocks of about BLOCK_TOKENS
     tokens, dealt by hash, and each block is broadcast and held against all documents.
