@@ -116,6 +116,26 @@ def test_forest_sets_odd_rows_apart():
     assert quality_rules.calibrate(good, bad * 0) > 1
 
 
+def test_forest_sees_repeated_lines(spark, labels):
+    """Short lines that come again between different ones: no eight-word window does."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(500)]
+    docs = [(i, "\n".join(" ".join(rng.choice(words, 12)) for _ in range(12))) for i in range(300)]
+    docs.append((999, "\n".join(" ".join(rng.choice(words, 12)) if not k % 2 else "w1 w2 w3" for k in range(18))))
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(
+        spark.createDataFrame(docs, "doc_id long, text string"), labels, trees=40).collect()}
+    assert got[999]["n_dup_lines"] == 8 and got[999]["n_repeat_words"] == 0
+    assert got[999]["anomaly"] == max(r["anomaly"] for r in got.values())
+
+
+def test_least_hashes_hold_the_sample(spark):
+    d = spark.range(5000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(3000).select(F.lit(2**63 - 1).alias("h")))
+    for n in (1, 50, 4999, 6000, 9000):
+        some = quality_rules.least_hashes(d, n, 8000)
+        assert [r["h"] for r in some.orderBy("h").limit(n).collect()] == [r["h"] for r in d.orderBy("h").limit(n).collect()]
+    assert quality_rules.least_hashes(d, 50, 8000).count() < 250
+
+
 def test_quality_rules_do_not_depend_on_partitions(spark, labels):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     one = {r["doc_id"]: r["anomaly"] for r in quality_rules.quality_rules(d.repartition(1), labels, trees=5).collect()}

@@ -22,12 +22,16 @@ KEEP_GOOD = 0.99
 BINS = 4000
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE_COUNTS = ["n_adjacent", "n_capitals", "n_marks"]
+MORE_COUNTS = ["n_adjacent", "n_capitals", "n_marks", "n_text_lines"]
 STATS = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS + MORE_COUNTS)
 #: What the forest sees: these counts per word, drawn towards the rate of the whole corpus
 #: as if by so many words more.  So neither length nor a short text's chance is an anomaly.
-RATED, PRIOR_WORDS = ["word_chars", "n_symbols", "n_repeat_words", *MORE_COUNTS], 200
-RATES = [f"rate_{c}" for c in RATED]
+RATED, PRIOR_WORDS = ["word_chars", "n_symbols", "n_repeat_words", "n_adjacent", "n_capitals", "n_marks"], 200
+#: Repeated lines count per line with a word, drawn towards the corpus as if by so many more.
+PRIOR_LINES = 20
+PER = {**{c: ("n_words", PRIOR_WORDS) for c in RATED}, "n_dup_lines": ("n_text_lines", PRIOR_LINES)}
+#: The rate of repeated lines is added to that of repeated words: both say how much of a text comes again.
+RATED, RATES = list(PER), [f"rate_{c}" for c in PER if c != "n_dup_lines"]
 
 _SYMBOL, _CAPITAL, _MARK = 1, 2, 4
 _CLASS = np.zeros(256, "u1")
@@ -72,15 +76,16 @@ def rule_statistics(text: bytes) -> tuple:
     chars = int((code_points & ~_SPACE[buffer]).sum())
     kinds = np.bincount(_CLASS[buffer], minlength=8)
     seen: set[bytes] = set()
-    dup = 0
+    dup = lines = 0
     for line in text.split(b"\n"):
         if line and not line.isspace():
+            lines += 1
             if line in seen:
                 dup += 1
             else:
                 seen.add(line)
     repeats, adjacent = repeated_words(words)
-    return (n, chars, int(kinds[_SYMBOL]), dup, repeats, adjacent, int(kinds[_CAPITAL]), int(kinds[_MARK]))
+    return (n, chars, int(kinds[_SYMBOL]), dup, repeats, adjacent, int(kinds[_CAPITAL]), int(kinds[_MARK]), lines)
 
 
 def grow_tree(x: np.ndarray, seed: int) -> list[tuple[int, int, float, int, float]]:
@@ -145,6 +150,18 @@ def calibrate(good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -
     return float((ties[0] + ties[ties <= best + BINS][-1]) / 2 / len(good))
 
 
+def least_hashes(df: DataFrame, n: int, rows: int) -> DataFrame:
+    """The rows of ``df`` (``rows`` in all) up to some value of their hash ``h``, at least ``n`` of
+    them and, but for repeated rows, little more: the others are dropped where they lie."""
+    share = (n + 6 * n ** 0.5 + 10) / max(1, rows)
+    while share < 1:
+        passed = df.where(F.col("h") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+        if passed.count() >= n:
+            return passed
+        share *= 2
+    return df
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   trees: int = TREES, tree_rows: int = TREE_ROWS) -> DataFrame:
     """Per row: ``doc_id``, the counts of COUNTS and MORE_COUNTS, the rates of RATES, ``base_failed``,
@@ -173,14 +190,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     stats = materialize(map_rows(src, measure, STATS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
-    sums = stats.agg(*[F.sum(c).alias(c) for c in ["n_words", *RATED]]).first()
-    corpus = {c: (sums[c] or 0) / max(1, sums["n_words"] or 0) for c in RATED}
-    rated = stats.withColumns({r: (F.col(c) + PRIOR_WORDS * corpus[c]) / (F.col("n_words") + PRIOR_WORDS)
-                               for r, c in zip(RATES, RATED, strict=True)})
-    sample = (rated.select("doc_id", *RATES, F.xxhash64(F.lit("sample"), "doc_id", *COUNTS).alias("h"))
-              .orderBy("h", "doc_id").limit(trees * tree_rows))
+    sums = stats.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in ["n_words", "n_text_lines", *RATED]]).first()
+    corpus = {c: (sums[c] or 0) / max(1, sums[per] or 0) for c, (per, _) in PER.items()}
+    rate = {c: (F.col(c) + prior * corpus[c]) / (F.col(per) + prior) for c, (per, prior) in PER.items()}
+    rate["n_repeat_words"] += rate.pop("n_dup_lines")
+    rated = stats.withColumns({f"rate_{c}": x for c, x in rate.items()})
+    hashed = rated.select("doc_id", *RATES, F.xxhash64(F.lit("sample"), "doc_id", *COUNTS).alias("h"))
+    sample = least_hashes(hashed, trees * tree_rows, sums["rows"]).orderBy("h", "doc_id").limit(trees * tree_rows)
     # a table smaller than the sample serves several trees with each row, never one tree twice
-    copies = min(trees, max(1, -(-trees * tree_rows // max(1, stats.count()))))
+    copies = min(trees, max(1, -(-trees * tree_rows // max(1, sums["rows"]))))
     dealt = sample.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn(
         "tree", F.pmod(F.xxhash64("h") + F.col("copy"), F.lit(trees)))
 
