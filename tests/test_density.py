@@ -85,3 +85,19 @@ def test_component_roots(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
     assert component_roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("d,k,block,tile", [(5, 12, 150, 16), (7, 40, 4096, 256)])
+def test_wide_dbscan_lists_no_pairs_of_sparse_cells(spark, monkeypatch, d, k, block, tile):
+    """In many dimensions most cells lie around a place: their pairs were listed, with bounds, before."""
+    monkeypatch.setattr(density, "SMALL_BLOCK", block)
+    monkeypatch.setattr(density, "TILE", tile)
+    listed, around = [], density._around
+    monkeypatch.setattr(density, "_around", lambda *a: listed.append(around(*a).count()) or around(*a))
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(0, .5, (500, d)), rng.normal(3, .6, (250, d)), rng.uniform(-3, 5, (100, d)),
+                        np.zeros((60, d)), np.full((60, d), .2), np.round(rng.normal(-2, .4, (80, d)), 1)])
+    points = [(int(i), r.tolist()) for i, r in zip(rng.permutation(len(x)) * 3, x)] + [(100_000, None)]
+    got, want = dict(run(spark, points, d, 1.2, k)), brute(points, 1.2, k)
+    assert got == want and len(set(want.values())) > 2
+    assert sum(listed) < len(points)

@@ -6,7 +6,10 @@ eps / sqrt(d), so any two in a cell are neighbours:
 * a cell of at least ``min_samples`` points is dense; all its points are core, and its
   places never meet their own cell or another dense one point by point;
 * a cell holds fewer than ``min_samples`` points otherwise.  Only these sparse places
-  count their neighbours in the cells around, in a join that splits hot cells;
+  count their neighbours: up to ``KEYED_DIMS`` dimensions in the cells around, in a join
+  that splits hot cells.  In more dimensions a place has most cells around it, so pairs of
+  cells are never listed: blocks of places of bounded size meet in tasks of their own, which
+  compare them tile by tile and send back one row per place or cell;
 * the core places of one cell belong together, so clusters are components of a graph of
   cells.  Two dense cells are joined if their nearest places are within eps.  That is
   found by descent: boxes around the places are halved level by level; two boxes wholly
@@ -18,10 +21,11 @@ the same way as the points within them, so the result is that of comparing all p
 
 from __future__ import annotations
 
-import itertools
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,10 @@ from tillsight.session import materialize
 KEYED_DIMS = 3
 #: Places of a cell that one join key holds.
 CELL_ROWS = 4096
+#: Blocks of places: as many as ``BLOCKS`` if that leaves ``SMALL_BLOCK`` rows to each, more only beyond ``LARGE_BLOCK`` rows.
+SMALL_BLOCK, BLOCKS, LARGE_BLOCK = 4096, 32, 131_072
+#: Places of a tile, within a task.
+TILE = 256
 
 
 def _far(lo_a: str, hi_a: str, lo_b: str, hi_b: str, d: int, least: bool) -> Column:
@@ -54,9 +62,10 @@ def _boxes(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 def _around(boxes: DataFrame, d: int, reach: int, eps2: float) -> DataFrame:
     """``(a, b, lo_a, hi_a, lo_b, hi_b)``: cells whose boxes come within eps, both ways, a <> b."""
     keyed = min(d, KEYED_DIMS)
-    steps = list(itertools.product(range(-reach, reach + 1), repeat=keyed))
-    moved = F.explode(F.array(*[F.array(*[F.col("cell")[i] + F.lit(s[i]) for i in range(keyed)]) for s in steps]))
-    a = boxes.select(F.col("cell").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), moved.alias("k"))
+    a = boxes.select(F.col("cell").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    for i in range(keyed):  # one small generator per dimension: all steps in one array are code beyond the compiler's limit
+        a = a.withColumn(f"s{i}", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    a = a.select("a", "lo_a", "hi_a", F.array(*[F.col("a")[i] + F.col(f"s{i}") for i in range(keyed)]).alias("k"))
     b = boxes.select(F.col("cell").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"),
                      F.slice("cell", 1, keyed).alias("k"))
     near = _far("lo_a", "hi_a", "lo_b", "hi_b", d, True) <= F.lit(eps2)
@@ -93,6 +102,99 @@ def _touching(pairs: DataFrame, places: DataFrame, cols: list[str], side: float,
             "a", "b", F.col("na").alias("ka"), F.col("nb").alias("kb"), "lo_a", "hi_a", "lo_b", "hi_b"))
 
 
+def _tiles(x: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Rows of ``x`` in tiles, halved along their longest side, and the tiles' bounds."""
+    parts, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= TILE:
+            parts.append(rows)
+            continue
+        here = x[rows]
+        order = np.argpartition(here[:, np.argmax(here.max(axis=0) - here.min(axis=0))], len(rows) // 2)
+        todo += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
+    return parts, np.array([x[p].min(axis=0) for p in parts]), np.array([x[p].max(axis=0) for p in parts])
+
+
+def _near_tiles(x: np.ndarray, y: np.ndarray, eps2: float):
+    """``(rows of x, rows of y, mask)`` for tiles within eps; ``mask()`` compares their places,
+    or is None where the tiles lie wholly within eps."""
+    (px, lx, hx), (py, ly, hy) = _tiles(x), _tiles(y)
+    for t, rows in enumerate(px):
+        one, two = lx[t] - hy, ly - hx[t]
+        gap, reach = np.maximum(np.maximum(one, two), 0.0), np.maximum(-one, -two)
+        least, most = (reduce(np.add, [g[:, i] * g[:, i] for i in range(x.shape[1])]) for g in (gap, reach))
+        for u in np.flatnonzero(least <= eps2):
+            def mask(a=x[rows], b=y[py[u]]):
+                sides = (a[:, None, i] - b[None, :, i] for i in range(a.shape[1]))
+                return reduce(np.add, [s * s for s in sides]) <= eps2
+            yield rows, py[u], None if most[u] <= eps2 else mask
+
+
+def _blocks(left: DataFrame, right: DataFrame, cols: list[str], sizes: tuple[int, int], fn, schema: str) -> DataFrame:
+    """``fn(left block, right block)`` of every two blocks; ``sizes`` are the rows of both sides."""
+    nl, nr = (max(1, min(-(-n // SMALL_BLOCK), BLOCKS), -(-n // LARGE_BLOCK)) for n in sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    l = left.withColumn("_i", at(nl)).withColumn("_j", every(nr))
+    r = right.withColumn("_j", at(nr)).withColumn("_i", every(nl))
+    return l.groupBy("_i", "_j").cogroup(r.groupBy("_i", "_j")).applyInPandas(fn, schema)
+
+
+def _counts(cols: list[str], eps2: float):
+    def fn(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(l), dtype=np.int64)
+        if len(l) and len(r):
+            n = r["n"].to_numpy(np.int64)
+            for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2):
+                found[a] += n[b].sum() if mask is None else np.where(mask(), n[b], 0).sum(axis=1)
+        return pd.DataFrame({"pid": l["pid"], "found": found})
+    return fn
+
+
+def _links(cols: list[str], eps2: float):
+    """Edges of a forest over the cells that hold places within eps."""
+    def fn(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([l["cid"].to_numpy(np.int64), r["cid"].to_numpy(np.int64)]))
+        root = np.arange(len(ids))
+        if len(l) and len(r):
+            ca, cb = np.searchsorted(ids, l["cid"].to_numpy(np.int64)), np.searchsorted(ids, r["cid"].to_numpy(np.int64))
+            for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2):
+                ra, rb = root[ca[a]], root[cb[b]]
+                if (ra == rb[0]).all() and (rb == rb[0]).all():
+                    continue  # one tree already
+                meets = ra[:, None] != rb[None, :]
+                if mask is not None:
+                    meets &= mask()
+                i, j = np.nonzero(meets)
+                for p, q in np.unique(np.stack([ra[i], rb[j]], axis=1), axis=0):
+                    while root[p] != p:
+                        p = root[p]
+                    while root[q] != q:
+                        q = root[q]
+                    root[max(p, q)] = min(p, q)
+                while (root[root] != root).any():
+                    root = root[root]
+        tied = root != np.arange(len(ids))
+        return pd.DataFrame({"ca": ids[tied], "cb": ids[root[tied]]})
+    return fn
+
+
+def _least_labels(cols: list[str], eps2: float):
+    def fn(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        none = np.iinfo(np.int32).max
+        best = np.full(len(l), none, dtype=np.int64)
+        if len(l) and len(r):
+            label = r["label"].to_numpy(np.int64)
+            for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2):
+                if (best[a] <= label[b].min()).all():
+                    continue
+                best[a] = np.minimum(best[a], label[b].min() if mask is None else np.where(mask(), label[b], none).min(axis=1))
+        hit = best < none
+        return pd.DataFrame({"pid": l["pid"].to_numpy()[hit], "label": best[hit]})
+    return fn
+
+
 def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", cols=None) -> DataFrame:
     """``(id_col, label)``: labels 0..k-1 by the smallest member id among the core points,
     noise -1.
@@ -113,41 +215,59 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", cols
     cells = materialize(places.groupBy("cell").agg(
         F.sum("n").alias("points"), F.count(F.lit(1)).alias("places"),
         F.array(*[F.min(c) for c in cols]).alias("lo"), F.array(*[F.max(c) for c in cols]).alias("hi"))
-        .withColumn("dense", F.col("points") >= min_samples))
-    near = materialize(_around(cells, d, reach, eps2))
-
-    # sparse places against the cells around; hot cells are cut by place
-    cuts = F.ceil(F.col("places") / F.lit(CELL_ROWS)).cast("int")
-    kinds = cells.select("cell", "dense", cuts.alias("cuts"))
-    sparse = materialize(places.join(cells.where(~F.col("dense")).select("cell"), "cell", "left_semi"))
-    probes = (sparse.select(F.col("cell").alias("a"), *[F.col(c).alias(f"p_{c}") for c in cols])
-              .join(near.select("a", F.col("b").alias("cell")), "a").join(kinds, "cell")
-              .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
-    dealt = places.join(kinds, "cell").withColumn("cut", F.pmod(F.xxhash64(*cols), F.col("cuts")).cast("int"))
-    d2 = reduce(lambda x, y: x + y, [(F.col(f"p_{c}") - F.col(c)) * (F.col(f"p_{c}") - F.col(c)) for c in cols])
-    here = [f"p_{c}" for c in cols]
-    met = probes.drop("dense").join(dealt.drop("cuts"), ["cell", "cut"]).where(d2 <= F.lit(eps2))
-    others = met.groupBy(*here).agg(F.sum("n").alias("others")).select(*[F.col(f"p_{c}").alias(c) for c in cols], "others")
-    own = cells.select("cell", "points")
-    counted = materialize(sparse.join(own, "cell").join(others, cols, "left").withColumn(
-        "core", F.col("points") + F.coalesce("others", F.lit(0)) >= min_samples))
+        .withColumn("dense", F.col("points") >= min_samples).withColumn("cid", F.monotonically_increasing_id()))
+    wide = d > KEYED_DIMS
+    near = materialize(_around(cells.where("dense") if wide else cells, d, reach, eps2))
+
+    sparse = places.join(cells.where(~F.col("dense")).select("cell", "cid"), "cell")
+    if wide:  # ids of places and cells instead of arrays; a place's own cell is within eps
+        sparse = materialize(sparse.withColumn("pid", F.monotonically_increasing_id()))
+        sizes = sparse.count(), places.count()
+        found = _blocks(sparse.select("pid", *cols), places.select("n", *cols), cols, sizes, _counts(cols, eps2), "pid long, found long")
+        counted = materialize(sparse.join(found.groupBy("pid").agg(F.sum("found").alias("found")), "pid")
+                              .withColumn("core", F.col("found") >= min_samples))
+    else:
+        sparse = materialize(sparse)
+        # sparse places against the cells around; hot cells are cut by place
+        cuts = F.ceil(F.col("places") / F.lit(CELL_ROWS)).cast("int")
+        kinds = cells.select("cell", "dense", cuts.alias("cuts"))
+        probes = (sparse.select(F.col("cell").alias("a"), *[F.col(c).alias(f"p_{c}") for c in cols])
+                  .join(near.select("a", F.col("b").alias("cell")), "a").join(kinds, "cell")
+                  .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
+        dealt = places.join(kinds, "cell").withColumn("cut", F.pmod(F.xxhash64(*cols), F.col("cuts")).cast("int"))
+        d2 = reduce(lambda x, y: x + y, [(F.col(f"p_{c}") - F.col(c)) * (F.col(f"p_{c}") - F.col(c)) for c in cols])
+        here = [f"p_{c}" for c in cols]
+        met = probes.drop("dense").join(dealt.drop("cuts"), ["cell", "cut"]).where(d2 <= F.lit(eps2))
+        others = met.groupBy(*here).agg(F.sum("n").alias("others")).select(*[F.col(f"p_{c}").alias(c) for c in cols], "others")
+        own = cells.select("cell", "points")
+        counted = materialize(sparse.join(own, "cell").join(others, cols, "left").withColumn(
+            "core", F.col("points") + F.coalesce("others", F.lit(0)) >= min_samples))
 
     # cells that hold core places are the nodes
-    sparse_core = materialize(counted.where("core").select("cell", *cols).withColumn("dense", F.lit(False)))
+    sparse_core = materialize(counted.where("core").select("cell", "cid", *cols))
     core_cells = cells.where("dense").select("cell").unionByName(sparse_core.select("cell").distinct())
     dense = cells.where("dense").select("cell")
     dense_pairs = (near.where(F.col("a") < F.col("b")).join(dense.withColumnRenamed("cell", "a"), "a", "left_semi")
                    .join(dense.withColumnRenamed("cell", "b"), "b", "left_semi"))
     dense_places = places.join(dense, "cell", "left_semi")
     from_dense = _touching(dense_pairs, dense_places, cols, side, eps2)
-    core_places = (dealt.where("dense").select("cell", "cut", *cols)
-                   .unionByName(sparse_core.select("cell", F.lit(0).alias("cut"), *cols)))
-    every = (sparse.select(F.col("cell").alias("a"), *[F.col(c).alias(f"p_{c}") for c in cols])
-             .join(near.select("a", F.col("b").alias("cell")), "a").join(kinds, "cell")
-             .withColumn("cut", F.explode(F.sequence(F.lit(0), F.when(F.col("dense"), F.col("cuts") - 1).otherwise(0)))))
-    reached = materialize(every.drop("dense", "cuts").join(core_places, ["cell", "cut"]).where(d2 <= F.lit(eps2))
-                          .select(*[F.col(f"p_{c}").alias(c) for c in cols], "a", F.col("cell").alias("b")).distinct())
-    from_sparse = reached.join(sparse_core.select(*cols), cols, "left_semi").select("a", "b")
+    if wide:
+        core_places = materialize(dense_places.join(cells.select("cell", "cid"), "cell").select("cell", "cid", *cols)
+                                  .unionByName(sparse_core))
+        cores = core_places.count()
+        ties = materialize(_blocks(sparse_core.select("cid", *cols), core_places.select("cid", *cols), cols,
+                                   (sparse_core.count(), cores), _links(cols, eps2), "ca long, cb long").distinct())
+        from_sparse = (ties.join(cells.select(F.col("cid").alias("ca"), F.col("cell").alias("a")), "ca")
+                       .join(cells.select(F.col("cid").alias("cb"), F.col("cell").alias("b")), "cb").select("a", "b"))
+    else:
+        core_places = (dealt.where("dense").select("cell", "cut", *cols)
+                       .unionByName(sparse_core.select("cell", F.lit(0).alias("cut"), *cols)))
+        every = (sparse.select(F.col("cell").alias("a"), *[F.col(c).alias(f"p_{c}") for c in cols])
+                 .join(near.select("a", F.col("b").alias("cell")), "a").join(kinds, "cell")
+                 .withColumn("cut", F.explode(F.sequence(F.lit(0), F.when(F.col("dense"), F.col("cuts") - 1).otherwise(0)))))
+        reached = materialize(every.drop("dense", "cuts").join(core_places, ["cell", "cut"]).where(d2 <= F.lit(eps2))
+                              .select(*[F.col(f"p_{c}").alias(c) for c in cols], "a", F.col("cell").alias("b")).distinct())
+        from_sparse = reached.join(sparse_core.select(*cols), cols, "left_semi").select("a", "b")
     edges = from_dense.unionByName(from_sparse).unionByName(core_cells.select(F.col("cell").alias("a"), F.col("cell").alias("b")))
     roots = materialize(component_roots(edges))
 
@@ -157,11 +277,17 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", cols
     names = (core_first.join(roots.withColumnRenamed("node", "cell"), "cell").groupBy("root").agg(F.min("first").alias("first")))
     named = materialize(global_rank(names, ["first"], ["root"], rank_col="rank", n_col=None))
     by_cell = materialize(roots.join(named, "root").select(F.col("node").alias("cell"), (F.col("rank") - 1).cast("int").alias("label")))
-    border_cells = reached.select(*cols, F.col("b").alias("cell")).unionByName(
-        # an own cell with a core place is in reach as well
-        counted.where(~F.col("core")).join(sparse_core.select("cell").distinct(), "cell", "left_semi").select(*cols, "cell"))
-    border = (border_cells.join(counted.where(~F.col("core")).select(*cols), cols, "left_semi").join(by_cell, "cell")
-              .groupBy(*cols).agg(F.min("label").alias("label")))
+    if wide:
+        fringe = counted.where(~F.col("core")).select("pid", *cols)
+        least = _blocks(fringe, core_places.join(by_cell, "cell").select("label", *cols), cols, (fringe.count(), cores),
+                        _least_labels(cols, eps2), "pid long, label long")
+        border = (least.groupBy("pid").agg(F.min("label").cast("int").alias("label")).join(fringe, "pid").select(*cols, "label"))
+    else:
+        border_cells = reached.select(*cols, F.col("b").alias("cell")).unionByName(
+            # an own cell with a core place is in reach as well
+            counted.where(~F.col("core")).join(sparse_core.select("cell").distinct(), "cell", "left_semi").select(*cols, "cell"))
+        border = (border_cells.join(counted.where(~F.col("core")).select(*cols), cols, "left_semi").join(by_cell, "cell")
+                  .groupBy(*cols).agg(F.min("label").alias("label")))
     labels = (dense_places.select("cell", *cols).unionByName(sparse_core.select("cell", *cols))
               .join(by_cell, "cell").select(*cols, "label").unionByName(border))
     return points.join(labels, cols, "left").select(
