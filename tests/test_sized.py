@@ -1,9 +1,12 @@
-"""Task sizes that follow the input."""
+"""Task sizes that follow the input, and months computed once."""
+
+import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
 from tillsight import session
+from tillsight.operators.series import month_end_series
 from tillsight.plans import catalog
 
 SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
@@ -43,3 +46,13 @@ def test_hub_is_built_in_tasks_sized_for_the_lines(spark, tmpdir_path, monkeypat
     hub = catalog._hub(spark, tmpdir_path, "lines", build)
     assert seen == ["100"] and hub.count() == 1000
     assert catalog._hub(spark, tmpdir_path, "lines", build) is hub and _settings(spark)[0] != "100"
+
+
+def test_month_end_reads_the_lines_once(spark, tmpdir_path):
+    path = f"{tmpdir_path}/sales.parquet"
+    rows = [(dt.datetime(2020, 1, 5), 2.0), (dt.datetime(2020, 1, 9), 3.0), (dt.datetime(2020, 3, 1), 7.0)]
+    spark.createDataFrame(rows, "InvoiceDate timestamp_ntz, Sales double").write.parquet(path)
+    out = month_end_series(spark.read.parquet(path))
+    assert not [f for f in out.inputFiles() if path in f]  # the months, not the lines
+    assert [tuple(r) for r in out.orderBy("InvoiceDate").collect()] == [
+        (dt.date(2020, 1, 31), 5.0), (dt.date(2020, 2, 29), 0.0), (dt.date(2020, 3, 31), 7.0)]

@@ -11,7 +11,7 @@ from tillsight.operators import reports as _rep
 from tillsight.operators import series, supervised
 from tillsight.plans import catalog as c
 from tillsight.plans.oracle import _STRICT, _dbl, _rx
-from tillsight.session import ensure_checkpoint_dir
+from tillsight.session import ensure_checkpoint_dir, materialize
 
 COHORT = {"frequency": (5, 12), "recency_days": (0, 365)}
 
@@ -26,8 +26,9 @@ def q_notebook_forecast_table(spark, sf_dir):
 
 
 def _forecasts(spark, sf_dir):
-    return c._hub(spark, sf_dir, "notebook_forecasts",
-                  lambda: nb.notebook_forecasts(nb.notebook_forecast_table(c.strict_month_end(spark, sf_dir))))
+    # a memo, no hub: the months are few, and their models are fitted under the session's settings
+    return c._memo(spark, sf_dir, "notebook_forecasts",
+                   lambda: materialize(nb.notebook_forecasts(nb.notebook_forecast_table(c.strict_month_end(spark, sf_dir)))))
 
 
 def q_notebook_forecasts(spark, sf_dir):
