@@ -56,3 +56,13 @@ def test_month_end_reads_the_lines_once(spark, tmpdir_path):
     assert not [f for f in out.inputFiles() if path in f]  # the months, not the lines
     assert [tuple(r) for r in out.orderBy("InvoiceDate").collect()] == [
         (dt.date(2020, 1, 31), 5.0), (dt.date(2020, 2, 29), 0.0), (dt.date(2020, 3, 31), 7.0)]
+
+
+def test_quality_classifier_reads_in_small_portions():
+    import pyarrow as pa
+
+    from tillsight.llm.quality_classifier import _portions
+    texts = [b"word%d " % i * 100 for i in range(3000)]
+    got = list(_portions(iter([pa.RecordBatch.from_pydict({"row": list(range(3000)), "text": texts})])))
+    assert [r for rows, _ in got for r in rows] == list(range(3000)) and [t for _, part in got for t in part] == texts
+    assert max(sum(map(len, part)) for _, part in got) < 512 << 10  # all arrays of a worker follow this size

@@ -23,7 +23,7 @@ FIT_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.004, 1e-4
 PREDICT_AT = 0.7
 
-WORDS_AT_ONCE, WORD_CACHE = 200_000, 400_000
+WORDS_AT_ONCE, WORD_CACHE = 64_000, 150_000
 AGAIN = 0  # the bucket of "same word as before"
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 _CLASSES = bytes(65 if chr(c).isupper() and c < 128 else 48 if chr(c).isdigit() and c < 128 else
