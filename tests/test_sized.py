@@ -66,3 +66,43 @@ def test_quality_classifier_reads_in_small_portions():
     got = list(_portions(iter([pa.RecordBatch.from_pydict({"row": list(range(3000)), "text": texts})])))
     assert [r for rows, _ in got for r in rows] == list(range(3000)) and [t for _, part in got for t in part] == texts
     assert max(sum(map(len, part)) for _, part in got) < 512 << 10  # all arrays of a worker follow this size
+
+
+@pytest.mark.parametrize("rows,cores,tasks", [(0, 12, 1), (9_000, 12, 3), (67_487, 12, 12), (674_865, 12, 12), (4_049_190, 12, 24), (4_049_190, 1, 17)])
+def test_a_fit_uses_every_core_and_bounds_its_tasks(rows, cores, tasks):
+    assert session.fit_tasks(rows, cores) == tasks
+    assert rows <= tasks * session.LARGE_FIT
+
+
+def test_training_rows_are_dealt_evenly_and_small_tables_left(spark, monkeypatch):
+    rows = spark.range(60).coalesce(1)
+    assert session.dealt_for_fits(rows, 60, write_small=False) is rows
+    monkeypatch.setattr(session, "FIT_ROWS", 10)
+    monkeypatch.setattr(session, "SMALL_FIT", 15)
+    wanted = session.fit_tasks(60, spark.sparkContext.defaultParallelism)
+    dealt = session.dealt_for_fits(rows, 60)
+    held = dealt.rdd.glom().map(len).collect()
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(60))
+    assert len(held) == wanted and max(held) <= -(-60 // wanted) + 1
+
+
+def test_churn_models_are_fitted_on_dealt_rows(spark, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from tillsight.operators import supervised
+    monkeypatch.setattr(session, "FIT_ROWS", 10)
+    monkeypatch.setattr(session, "SMALL_FIT", 20)
+    seen = []
+
+    class Watched(DecisionTreeClassifier):
+        def fit(self, dataset, params=None):
+            seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(supervised, "_churn_estimators", lambda seed, boosted: {"Decision Tree": Watched(maxDepth=3, weightCol="w", seed=seed)})
+    people = spark.range(80).coalesce(1).select(
+        F.col("id").cast("string").alias("customer_id"), (F.col("id") % 2).cast("int").alias("churned"),
+        *[(F.col("id") * (i + 3) % 17).cast("double").alias(c) for i, c in enumerate(supervised.CHURN_FEATURES)])
+    result = supervised.fit_churn_models(people)
+    assert seen == [(session.fit_tasks(80, spark.sparkContext.defaultParallelism), 60)]
+    assert sum(map(sum, result.confusion_matrices["Decision Tree"])) == 20

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.plans.ranking import exact_quantiles, global_cumsum
-from tillsight.session import materialize
+from tillsight.session import dealt_for_fits, materialize
 
 # ---- fixed values that must equal the reference ----
 CHURN_WEIGHTS = [("Recency", 0.35, False), ("Frequency", 0.25, True), ("Monetary", 0.20, True), ("CustomerScore", 0.20, True)]
@@ -115,8 +115,8 @@ def churn_study_predictions(labelled: DataFrame, seed: int = 42, boosted: bool =
 
     from tillsight.operators.supervised import assemble, positive_probability
 
-    data = materialize(assemble(held_out(labelled.withColumn("label", F.col("Churn"))), STUDY_FEATURES)
-                       .select("CustomerID", "label", "held_out", "features"))
+    data = dealt_for_fits(assemble(held_out(labelled.withColumn("label", F.col("Churn"))), STUDY_FEATURES)
+                          .select("CustomerID", "label", "held_out", "features"), labelled.count())
     train, test = data.where(~F.col("held_out")), data.where("held_out")
     models = {
         "Logistic Regression": Pipeline(stages=[

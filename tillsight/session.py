@@ -91,6 +91,27 @@ def sized(spark: SparkSession, rows: int):
             spark.conf.set(k, v)
 
 
+#: Training rows: from ``FIT_ROWS`` on they are dealt evenly; a task is worth ``SMALL_FIT`` rows and holds ``LARGE_FIT`` at most.
+FIT_ROWS, SMALL_FIT, LARGE_FIT = 10_000, 4_000, 250_000
+
+
+def fit_tasks(rows: int, cores: int) -> int:
+    """Tasks for every pass of a fit over ``rows`` rows: one per core, more only where a task's rows
+    would pass ``LARGE_FIT``, fewer where they would fall below ``SMALL_FIT``."""
+    return max(1, min(-(-rows // SMALL_FIT), cores * -(-rows // (cores * LARGE_FIT))))
+
+
+def dealt_for_fits(df, rows: int, write_small: bool = True):
+    """``df``, of about ``rows`` rows, written once with its rows dealt evenly to ``fit_tasks``.
+
+    A fit passes over its rows once per iteration or level, hundreds of times.  Files are as
+    many as the steps before left, by bytes, and a few numbers per row are few bytes: most
+    cores would wait.  Tables below ``FIT_ROWS`` are written as they are, or left alone without ``write_small``."""
+    if rows < FIT_ROWS:
+        return materialize(df) if write_small else df
+    return materialize(df.repartition(fit_tasks(rows, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def materialize(df):
     """Compute ``df`` once, write it as Parquet to a fresh folder below the shared
     checkpoint directory and read it back.
