@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.exprs import finite_or_zero
 from tillsight.plans.ranking import exact_quantiles
+from tillsight.session import materialize
 
 CLUSTER_FEATURES = ["recency_days", "frequency", "monetary_value", "avg_order_value", "purchase_rate",
                     "product_diversity", "return_rate"]
@@ -64,10 +65,11 @@ def cluster_metrics(scaled: DataFrame, label: str = "cluster", columns=None) ->
     cents = {r[label]: [r[c] for c in cols] for r in per}
     sizes = {r[label]: r["nk"] for r in per}
     # one pass: mean distance to own centroid (scatter) and within sum of squares
-    cent_expr = F.create_map(*[x for lab, v in cents.items() for x in (F.lit(lab), F.array(*[F.lit(float(a)) for a in v]))])
-    cvec = cent_expr[F.col(label)]
-    sq = sum(((F.col(c) - cvec[i]) ** 2 for i, c in enumerate(cols)), F.lit(0.0))
-    scat = usable.groupBy(label).agg(F.avg(F.sqrt(sq)).alias("s"), F.sum(sq).alias("wss")).collect()
+    # the centroids are joined, k rows: as literals they were code of its own for every k, which the driver compiles and keeps
+    spots = scaled.sparkSession.createDataFrame([(lab, [float(a) for a in v]) for lab, v in cents.items()],
+                                                f"{label} {scaled.schema[label].dataType.simpleString()}, _c array<double>")
+    sq = sum(((F.col(c) - F.col("_c")[i]) ** 2 for i, c in enumerate(cols)), F.lit(0.0))
+    scat = usable.join(F.broadcast(spots), label).groupBy(label).agg(F.avg(F.sqrt(sq)).alias("s"), F.sum(sq).alias("wss")).collect()
     s = {r[label]: r["s"] for r in scat}
     wss = sum(r["wss"] for r in scat)
     dist = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
@@ -179,7 +181,10 @@ def cluster_customers(customers: DataFrame, min_k: int = 2, max_k: int = 8, seed
         rows.append(met)
         n = scaled.count()
         d = dbscan(scaled, eps=1.2, min_samples=max(3, n // 30), id_col="customer_id")
-        met = cluster_metrics(scaled.join(d.withColumnRenamed("label", "cluster"), "customer_id"))
+        # written once: every figure would join the labels, all of DBSCAN's last steps, again
+        labelled = materialize(scaled.select("customer_id", "features", *[c for c in scaled.columns if c.startswith("s_")])
+                               .join(d.withColumnRenamed("label", "cluster"), "customer_id"))
+        met = cluster_metrics(labelled)
         met.update({"method": "dbscan", "parameter": 1.2})
         rows.append(met)
     named = name_clusters(assigned.withColumn("cluster", F.col("cluster").cast("int")))
