@@ -123,8 +123,7 @@ def train_predictive_models(customers: DataFrame, seed: int = 42, trees: int = 2
     n = customers.count()
     if n < MIN_CUSTOMERS:
         return PredictiveBundle({}, {"status": "Need at least 20 customers for predictive models"})
-    data = dealt_for_fits(assemble(predictive_labels(customers), MODEL_FEATURES).select(
-        "customer_id", "purchase_target", "next_days", "future_spend", "features"), n, write_small=False)
+    data = dealt_for_fits(assemble(predictive_labels(customers), MODEL_FEATURES), n, write_small=False)
     classes = data.select("purchase_target").distinct().count()
     train, test = stratified_split(data, "purchase_target") if classes > 1 else data.randomSplit([0.75, 0.25], seed)
     train = dealt_for_fits(balanced_weights(train, "purchase_target"), n, write_small=False)
@@ -337,7 +336,7 @@ def model_comparison(customers: DataFrame, seed: int = 42) -> DataFrame:
     data = assemble(customers.withColumn("label", (F.col("churn_risk") >= 60).cast("int")), COMPARISON_FEATURES)
     if customers.count() < MIN_CUSTOMERS or data.select("label").distinct().count() < 2:
         return spark.createDataFrame([], "model string, accuracy double, precision double, recall double, f1 double")
-    train, test = stratified_split(data.select("customer_id", "label", "features"), "label")
+    train, test = stratified_split(data, "label")
     train = dealt_for_fits(balanced_weights(train, "label"), customers.count(), write_small=False)
     ests = {
         "Logistic Regression": Pipeline(stages=[
