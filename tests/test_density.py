@@ -1,6 +1,7 @@
 """DBSCAN and components against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,42 @@ def test_wide_dbscan_lists_no_pairs_of_sparse_cells(spark, monkeypatch, d, k, bl
     got, want = dict(run(spark, points, d, 1.2, k)), brute(points, 1.2, k)
     assert got == want and len(set(want.values())) > 2
     assert sum(listed) < len(points)
+
+
+def _blocks_of(rng, d):
+    x = np.concatenate([rng.normal(0, .5, (900, d)), rng.normal(900, .5, (300, d)), rng.normal(0, 1, (40, d)) * 1e5, np.zeros((30, d))])
+    x = np.concatenate([x, x[:200] + 1.2 * np.eye(d)[0], np.full((20, d), 1e200)])  # places at eps exactly, and beyond any square
+    return x[rng.permutation(len(x))]
+
+
+def test_products_of_matrices_compare_exactly(monkeypatch):
+    """Tiles are compared by one product in single precision; what its rounding leaves open is compared pair by pair."""
+    monkeypatch.setattr(density, "TILE", 64)
+    monkeypatch.setattr(density, "CHUNK", 200)
+    checked = []
+    exactly = density._exactly
+    monkeypatch.setattr(density, "_exactly", lambda x, y, e: checked.append(len(x)) or exactly(x, y, e))
+    rng = np.random.default_rng(3)
+    d, eps2 = 7, 1.2 * 1.2
+    cols = [f"s_{i}" for i in range(d)]
+    x, y = _blocks_of(rng, d), _blocks_of(np.random.default_rng(3), d)
+    with np.errstate(all="ignore"):
+        near = sum((x[:, None, i] - y[None, :, i]) ** 2 for i in range(d)) <= eps2
+        l, r = pd.DataFrame(x, columns=cols), pd.DataFrame(y, columns=cols)
+        l["pid"], r["n"], r["label"] = np.arange(len(x)), rng.integers(1, 4, len(y)), rng.integers(0, 5, len(y))
+        counted = density._counts(cols, eps2)(l, r)
+        least = density._least_labels(cols, eps2)(l, r)
+        assert counted["found"].tolist() == (near @ r["n"].to_numpy()).tolist()
+        want = [(i, r["label"].to_numpy()[row].min()) for i, row in enumerate(near) if row.any()]
+        assert list(least.itertuples(index=False, name=None)) == want
+        l["cid"], r["cid"] = np.arange(len(x)), len(x) + np.arange(len(y))
+        links = density._links(cols, eps2)(l, r)
+    graph = {i: {i} for i in range(len(x) + len(y))}  # components by joining sets
+    for a, b in [(i, len(x) + j) for i, j in zip(*np.nonzero(near))]:
+        if graph[a] is not graph[b]:
+            graph[a] |= graph[b]
+            for k in graph[b]:
+                graph[k] = graph[a]
+    root = {i: min(s) for i, s in graph.items()}
+    assert dict(zip(links["ca"], links["cb"])) == {i: g for i, g in root.items() if g != i}
+    assert 0 < sum(checked) < near.size / 2

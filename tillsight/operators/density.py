@@ -38,9 +38,11 @@ KEYED_DIMS = 3
 #: Places of a cell that one join key holds.
 CELL_ROWS = 4096
 #: Blocks of places: as many as ``BLOCKS`` if that leaves ``SMALL_BLOCK`` rows to each, more only beyond ``LARGE_BLOCK`` rows.
-SMALL_BLOCK, BLOCKS, LARGE_BLOCK = 4096, 32, 131_072
-#: Places of a tile, within a task.
-TILE = 256
+SMALL_BLOCK, BLOCKS, LARGE_BLOCK = 4096, 12, 131_072
+#: Places of a tile, within a task, and places that a tile is compared with at a time.
+TILE, CHUNK = 256, 1024
+#: Squared distances from the middle of a block, in eps, up to which its places are compared around that middle.
+FAR = 256.0
 
 
 def _far(lo_a: str, hi_a: str, lo_b: str, hi_b: str, d: int, least: bool) -> Column:
@@ -110,25 +112,98 @@ def _tiles(x: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         if len(rows) <= TILE:
             parts.append(rows)
             continue
-        here = x[rows]
-        order = np.argpartition(here[:, np.argmax(here.max(axis=0) - here.min(axis=0))], len(rows) // 2)
-        todo += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
+        here, half = x[rows], (len(rows) + TILE) // (2 * TILE) * TILE  # of full tiles, all but one
+        order = np.argpartition(here[:, np.argmax(here.max(axis=0) - here.min(axis=0))], half)
+        todo += [rows[order[:half]], rows[order[half:]]]
     return parts, np.array([x[p].min(axis=0) for p in parts]), np.array([x[p].max(axis=0) for p in parts])
 
 
-def _near_tiles(x: np.ndarray, y: np.ndarray, eps2: float):
-    """``(rows of x, rows of y, mask)`` for tiles within eps; ``mask()`` compares their places,
-    or is None where the tiles lie wholly within eps."""
+def _exactly(x: np.ndarray, y: np.ndarray, eps2: float) -> np.ndarray:
+    """Whether row i of ``x`` and row i of ``y`` are within eps."""
+    sides = [x[:, i] - y[:, i] for i in range(x.shape[1])]
+    return reduce(np.add, [s * s for s in sides]) <= eps2
+
+
+def _factors(x: np.ndarray, mid: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(left, right, squares)``: in units of eps and around ``mid``, row i of ``left`` times row j of
+    ``right`` is the squared distance of rows i and j less 1; single precision."""
+    x = (x - mid) / eps
+    squares, ones = np.einsum("ij,ij->i", x, x), np.ones(len(x))
+    return (np.column_stack([-2 * x, squares - 1, ones]).astype(np.float32),
+            np.column_stack([x, ones, squares]).astype(np.float32), squares)
+
+
+def _compared(x, y, i: np.ndarray, j: np.ndarray, eps2: float, at: np.ndarray, room: list) -> np.ndarray:
+    """``mask[a, b]``: rows ``i[a]`` of x and ``j[b]`` of y are within eps.  Both come as coordinates and
+    ``_factors``; ``at`` is a point amid those of x.
+
+    One product of matrices gives all distances in single precision; pairs within its rounding error
+    of eps are compared one by one."""
+    m, r = len(i), len(j)
+    left, right, top = x[1][i], y[2][j], x[3][i].max() + y[3][j].max()
+    if not top < FAR:  # too far out for single precision: around their own middle
+        (left, _, one), (_, right, two) = (_factors(c, at, math.sqrt(eps2)) for c in (x[0][i], y[0][j]))
+        top = one.max() + two.max()
+    doubt = np.float32(_doubt(x[0].shape[1], top))  # else the comparisons run in double precision
+    gap = np.matmul(left, right.T, out=room[0][:m * r].reshape(m, r))
+    within, beyond = room[1][:m * r].reshape(m, r), room[2][:m * r].reshape(m, r)
+    np.less(gap, -doubt, out=within)
+    np.greater(gap, doubt, out=beyond)
+    settled = np.bitwise_count(np.packbits(within, axis=1) ^ np.packbits(beyond, axis=1)).sum(axis=1)
+    odd = np.flatnonzero(settled < r)
+    if len(odd):
+        a, b = np.nonzero(~(within[odd] | beyond[odd]))
+        within[odd[a], b] = _exactly(x[0][i[odd[a]]], y[0][j[b]], eps2)
+    return within
+
+
+def _doubt(d: int, squares):
+    """Bound of the rounding error of a product of ``_factors`` whose squares have that sum."""
+    return (d + 8) * 2.0 ** -22 * (squares + 1)
+
+
+def _near_tiles(x: np.ndarray, y: np.ndarray, eps2: float, wanted=None):
+    """``(rows of x, rows of y, mask)`` for tiles within eps, the nearest rows of y first; ``mask`` tells which
+    of their places are within eps, or is None where all are.  The rows of both sides that still
+    matter are asked of ``wanted(rows of x, rows of y)``, which returns rows and a mask, before they are compared."""
     (px, lx, hx), (py, ly, hy) = _tiles(x), _tiles(y)
+    ask = wanted or (lambda i, j: (i, j))
+    d, eps, mid = x.shape[1], math.sqrt(eps2), np.median(y, axis=0)
+    order, lens = np.concatenate(py), [len(p) for p in py]
+    xs, ys = (x, *_factors(x, mid, eps)), (y[order], *_factors(y[order], mid, eps))
+    rounding = _doubt(d, ys[3]).astype(np.float32)
+    room = [np.empty(TILE * CHUNK, np.float32), np.empty(TILE * CHUNK, bool), np.empty(TILE * CHUNK, bool)]
+
+    def ask(i: np.ndarray, j: np.ndarray):
+        if wanted is None:
+            return i, j
+        i, keep = wanted(i, order[j])
+        return i, j[keep]
+
     for t, rows in enumerate(px):
         one, two = lx[t] - hy, ly - hx[t]
         gap, reach = np.maximum(np.maximum(one, two), 0.0), np.maximum(-one, -two)
-        least, most = (reduce(np.add, [g[:, i] * g[:, i] for i in range(x.shape[1])]) for g in (gap, reach))
-        for u in np.flatnonzero(least <= eps2):
-            def mask(a=x[rows], b=y[py[u]]):
-                sides = (a[:, None, i] - b[None, :, i] for i in range(a.shape[1]))
-                return reduce(np.add, [s * s for s in sides]) <= eps2
-            yield rows, py[u], None if most[u] <= eps2 else mask
+        least, most = (reduce(np.add, [g[:, i] * g[:, i] for i in range(d)]) for g in (gap, reach))
+        kind = np.where(most <= eps2, 2, least <= eps2)
+        if not kind.any():
+            continue
+        if (kind == 2).any():
+            i, j = ask(rows, np.flatnonzero(np.repeat(kind == 2, lens)))
+            if len(i) and len(j):
+                yield i, order[j], None
+        # rows of the tiles around that may be within eps of this one's farthest place from its middle
+        at = lx[t] / 2 + hx[t] / 2
+        wide = math.sqrt(((x[rows] - at) ** 2).sum(axis=1).max()) / eps
+        middle, _, square = _factors(at[None, :], mid, eps)
+        far = ys[2] @ middle[0] - rounding
+        within_reach = ~(far > np.float32((1 + wide) ** 2 * (1 + 1e-6) + _doubt(d, square[0]) - 1))
+        some = np.flatnonzero(within_reach & np.repeat(kind == 1, lens))
+        if wanted and len(some) > CHUNK:  # the nearest settle most
+            some = some[np.argpartition(far[some], CHUNK)]
+        for start in range(0, len(some), CHUNK):
+            i, j = ask(rows, some[start:start + CHUNK])
+            if len(i) and len(j):
+                yield i, order[j], _compared(xs, ys, i, j, eps2, at, room)
 
 
 def _blocks(left: DataFrame, right: DataFrame, cols: list[str], sizes: tuple[int, int], fn, schema: str) -> DataFrame:
@@ -147,7 +222,13 @@ def _counts(cols: list[str], eps2: float):
         if len(l) and len(r):
             n = r["n"].to_numpy(np.int64)
             for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2):
-                found[a] += n[b].sum() if mask is None else np.where(mask(), n[b], 0).sum(axis=1)
+                if mask is None:
+                    found[a] += n[b].sum()
+                    continue
+                found[a] += np.bitwise_count(np.packbits(mask, axis=1)).sum(axis=1, dtype=np.int64)
+                many = np.flatnonzero(n[b] != 1)  # places that several points share
+                if len(many):
+                    found[a] += np.where(mask[:, many], n[b[many]] - 1, 0).sum(axis=1)
         return pd.DataFrame({"pid": l["pid"], "found": found})
     return fn
 
@@ -157,24 +238,31 @@ def _links(cols: list[str], eps2: float):
     def fn(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([l["cid"].to_numpy(np.int64), r["cid"].to_numpy(np.int64)]))
         root = np.arange(len(ids))
+
+        def hook(p: np.ndarray, q: np.ndarray):
+            """Each larger root below the least it is paired with; every node points at a root again."""
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            while (root[root] != root).any():
+                root[:] = root[root]
+
         if len(l) and len(r):
             ca, cb = np.searchsorted(ids, l["cid"].to_numpy(np.int64)), np.searchsorted(ids, r["cid"].to_numpy(np.int64))
-            for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2):
-                ra, rb = root[ca[a]], root[cb[b]]
-                if (ra == rb[0]).all() and (rb == rb[0]).all():
-                    continue  # one tree already
-                meets = ra[:, None] != rb[None, :]
-                if mask is not None:
-                    meets &= mask()
-                i, j = np.nonzero(meets)
-                for p, q in np.unique(np.stack([ra[i], rb[j]], axis=1), axis=0):
-                    while root[p] != p:
-                        p = root[p]
-                    while root[q] != q:
-                        q = root[q]
-                    root[max(p, q)] = min(p, q)
-                while (root[root] != root).any():
-                    root = root[root]
+
+            def apart(a: np.ndarray, b: np.ndarray):
+                """Rows of one tree on both sides need no look."""
+                ra = root[ca[a]]
+                return a, (root[cb[b]] != ra[0] if (ra == ra[0]).all() else np.ones(len(b), bool))
+
+            for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2, apart):
+                while True:
+                    ra, rb = root[ca[a]], root[cb[b]]
+                    meets = ra[:, None] != rb[None, :]
+                    if mask is not None:
+                        meets &= mask
+                    i, j = np.flatnonzero(meets.any(axis=1)), np.flatnonzero(meets.any(axis=0))
+                    if not len(i):
+                        break
+                    hook(np.concatenate([ra[i], ra[meets[:, j].argmax(axis=0)]]), np.concatenate([rb[meets[i].argmax(axis=1)], rb[j]]))
         tied = root != np.arange(len(ids))
         return pd.DataFrame({"ca": ids[tied], "cb": ids[root[tied]]})
     return fn
@@ -186,10 +274,18 @@ def _least_labels(cols: list[str], eps2: float):
         best = np.full(len(l), none, dtype=np.int64)
         if len(l) and len(r):
             label = r["label"].to_numpy(np.int64)
-            for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2):
-                if (best[a] <= label[b].min()).all():
+
+            def better(a: np.ndarray, b: np.ndarray):
+                """Only rows whose label can still fall, only places that can lower one."""
+                a = a[best[a] > label[b].min()]
+                return a, label[b] < best[a].max(initial=0)
+
+            for a, b, mask in _near_tiles(l[cols].to_numpy(float), r[cols].to_numpy(float), eps2, better):
+                if mask is None:
+                    best[a] = np.minimum(best[a], label[b].min())
                     continue
-                best[a] = np.minimum(best[a], label[b].min() if mask is None else np.where(mask(), label[b], none).min(axis=1))
+                for one in np.unique(label[b]) if len(b) else ():
+                    best[a[mask[:, label[b] == one].any(axis=1) & (best[a] > one)]] = one
         hit = best < none
         return pd.DataFrame({"pid": l["pid"].to_numpy()[hit], "label": best[hit]})
     return fn
