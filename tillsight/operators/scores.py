@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.exprs import clip
 from tillsight.plans.ranking import exact_quantiles, ranks_by
+from tillsight.session import materialize
 
 # ---- fixed values that must equal the reference ----
 CLV_MARGIN = 0.35
@@ -186,6 +187,7 @@ def notebook_customer_table(clean: DataFrame, customer: str = "Customer ID", inv
     base = clean.groupBy(F.col(customer).alias("CustomerID")).agg(
         F.count_distinct(invoice).alias("TotalTransactions"), F.sum(qty).alias("TotalQuantity"),
         F.sum(sales).alias("TotalSpent"), F.max(date).alias("LastPurchaseDate"))
+    base = materialize(base)   # read for every figure below: the lines are joined and cleaned once
     ref = base.agg(F.max("LastPurchaseDate")).first()[0]
     base = base.withColumns({
         "Recency": whole_days(ntz_literal(ref), F.col("LastPurchaseDate")),
